@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequarry.llm import packing
+from lodequarry.llm import packing, shared, sharding, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+    out = sharding.shard(docs)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.scratch_path(spark, "token-files")
+    tokenfiles.write(_table(spark, sf_dir, "documents"), path)
+    return tokenfiles.read(spark, path)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op6_packing": op6_packing}
+QUERIES: dict[str, Query] = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op6_packing": op6_packing}
 ORACLES: dict[str, str] = {}

@@ -33,13 +33,18 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when this process ends."""
+    path = f"{scratch_root(spark)}/lodequarry/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there and any executor may be lost."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lodequarry/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
