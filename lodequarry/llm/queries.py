@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequarry.llm import packing, shared, sharding, tokenfiles
+from lodequarry.llm import mixing, packing, quality, shared, sharding, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +29,28 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, path)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = shared.staged(quality.measured(docs).drop("text"), "quality-measures")
+    cutoffs = quality.calibrate(quality.labels_of(measured, _table(spark, sf_dir, "labels")))
+    out = quality.judged(measured, cutoffs)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op6_packing": op6_packing}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_sharding": op1_sharding,
+    "op3_token_files": op3_token_files,
+    "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
+    "op9_mixing": op9_mixing,
+}
 ORACLES: dict[str, str] = {}
