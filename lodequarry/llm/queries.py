@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequarry.llm import mixing, packing, quality, shared, sharding, tokenfiles
+from lodequarry.llm import mixing, neardup, packing, quality, shared, sharding, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.scratch_path(spark, "token-files")
     tokenfiles.write(_table(spark, sf_dir, "documents"), path)
@@ -48,6 +52,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
