@@ -140,8 +140,12 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.alias("d").join(wanted.alias("w"), same, "left_semi").dropDuplicates(["node"]).select("node", "text")
 
 
+def _node(text, seed: int):
+    return F.xxhash64(F.lit(seed), F.coalesce(text, F.lit("")))
+
+
 def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int = 25, rows: int = 5, pivots: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size, node (hash of the text) and kept.
+    """A row per row of docs: doc_id, class_id (smallest doc_id of its class), node (hash of the text by `seed`), seed, has_words and kept.
 
     Classes are the connected components of texts whose shingle multisets have a similarity of `least` or more. Candidates share one of n_bands runs of `rows`
     registers (a pair at 0.8 is missed with probability 5e-5), and every link is verified on the whole texts. Equal texts are one node. In each bucket
@@ -154,8 +158,8 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
     spark = docs.sparkSession
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     for seed in range(8):  # until no two texts share a 64-bit hash; a second hash tells
-        keyed = plain.select("doc_id", "text", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias("node"))
-        source = keyed.withColumn("check", F.xxhash64(F.lit(seed + 100), F.coalesce("text", F.lit(""))))
+        keyed = plain.select("doc_id", "text", _node(F.col("text"), seed).alias("node"))
+        source = keyed.withColumn("check", _node(F.col("text"), seed + 100))
         kind = plain.schema["doc_id"].dataType.simpleString()
         schema = f"doc_id {kind}, node long, check long, n long, bands array<long>"
         signed = shared.staged(source.select("doc_id", "text", "node", "check").mapInArrow(_signer(words, n_bands, rows), schema), "signatures")
@@ -208,5 +212,22 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         "node",
+        F.lit(seed).alias("seed"),
+        (~own).alias("has_words"),
         (own | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node")))).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+    """docs with one row of each class of near duplicates, that of the smallest id; all columns and all rows without words stay.
+
+    Of rows alike in id and text, one stays. See classes for the parameters and the rest."""
+    found = shared.staged(classes(docs, id_column=id_column, text_column=text_column, **how), "classes-of-rows")
+    first = found.select("seed").first()
+    if first is None:
+        return docs
+    kept = found.where("kept").groupBy("doc_id", "node").agg(F.count("*").alias("lq_rows"), F.first("has_words").alias("lq_words")).withColumnsRenamed({"doc_id": "lq_id", "node": "lq_kept"})
+    keyed = docs.withColumn("lq_node", _node(F.col(text_column), first[0]))
+    met = keyed.join(kept, keyed[id_column].eqNullSafe(kept["lq_id"]) & (F.col("lq_node") == F.col("lq_kept")))
+    alike = F.col("lq_words") & (F.col("lq_rows") > 1)
+    return met.where(~alike).select(*docs.columns).union(met.where(alike).dropDuplicates(["lq_id", "lq_kept"]).select(*docs.columns))
