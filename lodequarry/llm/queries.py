@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequarry.llm import mixing, neardup, packing, quality, shared, sharding, tokenfiles
+from lodequarry.llm import chat, licenses, mixing, neardup, packing, quality, shared, sharding, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    return chat.read_back(chat.formatted(rows.union(spark.createDataFrame(hard, rows.schema))))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -50,12 +56,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, its language and its id."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text")
+    return licenses.scan(docs).select("doc_id", "license", "license_score", "license_basis", "license_from")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op9_mixing": op9_mixing,
+    "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {}
