@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequarry.llm import chat, licenses, mixing, neardup, packing, quality, shared, sharding, tokenfiles
+from lodequarry.llm import chat, licenses, lm, mixing, neardup, packing, quality, shared, sharding, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm.score(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
 }
