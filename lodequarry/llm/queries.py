@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequarry.llm import chat, licenses, lm, mixing, neardup, packing, quality, shared, sharding, tokenfiles
+from lodequarry.llm import chat, licenses, lm, mixing, neardup, packing, quality, shared, sharding, tokenfiles, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), held_out)
 
 
+def op8_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_vector_duplicates": op8_vector_duplicates,
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
 }

@@ -91,8 +91,8 @@ class _Model:
 
 
 def _shape(n: int) -> tuple[int, int]:
-    """Lanes and steps: lanes grow with the block up to 2048, as long as each has some hundred ids."""
-    lanes = min(2048, max(1, n // 512))
+    """Lanes and steps: lanes grow with the block up to 8192, as long as each has some hundred ids."""
+    lanes = min(8192, max(1, n // 256))
     steps = -(-n // lanes) if n else 0
     return (-(-n // steps), steps) if n else (1, 0)
 

@@ -83,7 +83,7 @@ def cells(keys: DataFrame, shards: int, tolerance: float, id_bits: int) -> tuple
         for c in ordered:
             near = min(range(1, shards), key=lambda k: abs(at + c.size / 2 - k * size / shards), default=None)
             cut = near is not None and any(at < k * size / shards < at + c.size and min(k * size / shards - at, at + c.size - k * size / shards) > tolerance * size / shards for k in (near - 1, near, near + 1) if 0 < k < shards)
-            if len(c.path) == depth + 1 and c.rows > 1 and (cut or c.rows > max(4096, rows // 512)):
+            if len(c.path) == depth + 1 and c.rows > 1 and (cut or c.rows > max(256, rows // 512)):
                 level = level_of[c.path] + 1
                 if c.lowest == c.highest:
                     level = max(level, hash_levels)

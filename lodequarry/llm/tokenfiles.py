@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodequarry.llm import rangecoder, shared, tokens
 
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 
 
 def _encoder(vocabulary: str, end: int, block: int, id_column: str):
