@@ -92,11 +92,11 @@ def digest(rules: Iterable[object]) -> str:
 
 
 def _matches(r: RoleRule, domain: str) -> Column:
-    value = task_key(F.col("task_type")) if r.field == "task_type" else F.lower(F.col(r.field))
+    value = F.col(f"_{r.field}")
     pattern = r.pattern.upper() if r.field == "task_type" else r.pattern.lower()
     if r.match == "numbered":
         hit = value.rlike(f"^{pattern}[0-9]+(_[0-9]+)*$")
-        return hit if domain == "communication_op" else hit & task_key(F.col("task_type")).isin(*_DETAIL_TYPES)
+        return hit if domain == "communication_op" else hit & F.col("_task_type").isin(*_DETAIL_TYPES)
     return value == pattern if r.match == "exact" else value.contains(pattern)
 
 
@@ -122,10 +122,11 @@ def classified(df: DataFrame, rules: Sequence[RoleRule], domain: str = "task", p
         role = F.when(take, r.role) if role is None else role.when(take, r.role)
         rule = F.when(take, r.name) if rule is None else rule.when(take, r.name)
     lacking = F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>")
-    out = df.withColumns({"role": role.otherwise("unknown_anchor"), "rule": rule.otherwise("fallback.unknown_observation"), "missing_rules": F.array_join(F.array_sort(lacking), ",")})
+    prepared = df.withColumns({"_task_type": task_key(F.col("task_type")), "_blob": F.lower("blob"), "_operator": F.lower("operator")})
+    out = prepared.withColumns({"role": role.otherwise("unknown_anchor"), "rule": rule.otherwise("fallback.unknown_observation"), "missing_rules": F.array_join(F.array_sort(lacking), ",")})
     known = F.col("role") != "unknown_anchor"
     state = F.when(known & (F.col("missing_rules") == ""), "supported").when(known, "supported_after_missing_capability").when(F.col("missing_rules") == "", "supported_unknown_first").otherwise("missing_capability")
-    return out.withColumn("support_state", state)
+    return out.withColumn("support_state", state).drop("_task_type", "_blob", "_operator")
 
 
 @dataclass(frozen=True)
