@@ -15,16 +15,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     minima are pre-aggregated, so that a node with very many links costs no task more than its share. The number of steps grows with the logarithm of the nodes."""
     tall = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     tall = shared.staged(tall, "links")
-    mark = None
     while True:
-        now = tall.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1))).first()
-        if now == mark:
+        # done when every node hangs from one node and that one from none
+        below = tall.groupBy("u").agg(F.count("*").alias("n"))
+        if below.where("n > 1").isEmpty() and tall.select(F.col("v").alias("u")).join(below, "u", "left_semi").isEmpty():
             break
-        mark = now
         both = tall.union(tall.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = shared.staged(large, "large-star")
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         tall = shared.staged(small.where(F.col("u") != F.col("v")).distinct(), "small-star")

@@ -100,10 +100,12 @@ def _signer(words: int, n_bands: int, rows: int):
         for whole in batches:
             for batch in shared.slices(whole, 4 << 20):
                 doc, key, count, n = shingles(batch.column(batch.schema.get_field_index("text")), words)
-                got = bands(signatures(doc, key, count, n, n_bands * rows), rows)
+                made = signatures(doc, key, count, n, n_bands * rows)
+                got = bands(made, rows)
+                sketch = pa.array([x.tobytes() for x in (shared.mix(made.view(np.uint64)) & np.uint64(255)).astype(np.uint8)], pa.binary())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands), pa.array(got.reshape(-1)))
                 keep = [k for k, c in enumerate(batch.schema.names) if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n), flat], [*(batch.schema.names[k] for k in keep), "n", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n), flat, sketch], [*(batch.schema.names[k] for k in keep), "n", "bands", "sketch"])
 
     return run
 
@@ -120,6 +122,23 @@ def similar(a, b, words: int, least: float) -> np.ndarray:
     return shared_ >= least * (na + nb - shared_) - 1e-9
 
 
+def _plausible(least: float):
+    """Pairs whose sketches (a byte of each register) agree in so many places that the similarity may be `least`: five standard deviations below it at the least."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            a, b = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            m = a.shape[1]
+            ok = pa.array((a == b).sum(1) >= m * least - 5 * np.sqrt(m * least * (1 - least)))
+            yield pa.RecordBatch.from_arrays([get("a").filter(ok), get("b").filter(ok)], ["a", "b"])
+
+    return run
+
+
 def _verifier(words: int, least: float):
     import pyarrow as pa
 
@@ -133,9 +152,80 @@ def _verifier(words: int, least: float):
     return run
 
 
+SLOTS = 1 << 20  # counters of how often tokens occur; they only order tokens, so sharing one costs time, not links
+_CHUNK = 1 << 12
+
+
+def tokens_of(texts, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and hash of each token, a shingle with the number of its occurrence, and tokens per document: multisets become sets of the same similarity."""
+    doc, key, count, n = shingles(texts, words)
+    which = np.repeat(np.arange(len(key)), count)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    return doc[which], shared.mix(key[which] + nth.astype(np.uint64) * _GOLD), n
+
+
+def _tallier(words: int):
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for whole in batches:
+            for batch in shared.slices(whole):
+                _, token, _ = tokens_of(batch.column(batch.schema.get_field_index("text")), words)
+                total += np.bincount((token & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS // _CHUNK, dtype=np.int32)), pa.array([total[k : k + _CHUNK].tobytes() for k in range(0, SLOTS, _CHUNK)], pa.binary())], ["chunk", "tally"])
+
+    return run
+
+
+def _summed(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "tally": [sum(np.frombuffer(x, np.int64) for x in pdf["tally"]).tobytes()]})
+
+
+def _prefixer(words: int, least: float, told):
+    import pyarrow as pa
+
+    def run(batches):
+        tally = told.value
+        for whole in batches:
+            for batch in shared.slices(whole):
+                doc, token, n = tokens_of(batch.column(batch.schema.get_field_index("text")), words)
+                seen = tally[(token & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((token, seen, doc))
+                doc, token, seen = doc[order], token[order], seen[order]
+                place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+                reach = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+                use = (place < reach[doc]) & (seen > 1)
+                node = batch.column(batch.schema.get_field_index("node")).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[doc[use]]), pa.array(token[use].view(np.int64))], ["node", "token"])
+
+    return run
+
+
+def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """node, token: of each text (node, text), its rarest tokens, so many that two texts of a similarity of at least `least` share one of them.
+
+    That holds for any one order of all tokens; this one puts what occurs seldom first (by a bounded table of counters), so passages that very many texts share come last and
+    make candidates only of texts that consist of little else. Tokens that occur once are left out, as they meet no other."""
+    spark = texts.sparkSession
+    parts = texts.mapInArrow(_tallier(words), "chunk int, tally binary").groupBy("chunk").applyInPandas(_summed, "chunk int, tally binary").collect()  # SLOTS counters
+    tally = np.zeros(SLOTS, np.int64)
+    for r in parts:
+        tally[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["tally"], np.int64)
+    told = spark.sparkContext.broadcast(np.minimum(tally, (1 << 31) - 1).astype(np.int32))
+    return texts.select("node", "text").mapInArrow(_prefixer(words, least, told), "node long, token long")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """One text for each text hash that occurs in pairs: that of its representative."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+    return _texts_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    wanted = some.join(nodes.select("node", "rep"), "node")
     same = F.col("d.node").eqNullSafe(F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep"))
     return docs.alias("d").join(wanted.alias("w"), same, "left_semi").dropDuplicates(["node"]).select("node", "text")
 
@@ -144,66 +234,71 @@ def _node(text, seed: int):
     return F.xxhash64(F.lit(seed), F.coalesce(text, F.lit("")))
 
 
-def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int = 25, rows: int = 5, pivots: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int = 25, rows: int = 6, pivots: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, class_id (smallest doc_id of its class), node (hash of the text by `seed`), seed, has_words and kept.
 
     Classes are the connected components of texts whose shingle multisets have a similarity of `least` or more. Candidates share one of n_bands runs of `rows`
-    registers (a pair at 0.8 is missed with probability 5e-5), and every link is verified on the whole texts. Equal texts are one node. In each bucket
-    of a band a pivot is compared with the members that are not yet in its class; after `pivots` such rounds what is left across
-    classes is compared outright, so no candidate is lost, while copies never meet all of one another. A bucket whose members are all in one
-    class needs no more comparisons, as classes are what is asked for.
+    registers (a pair at 0.8 is missed with probability 5e-4, one at 0.85 with 7e-6) and have signatures alike enough; every link is verified on the whole texts. Equal texts
+    are one node. First, the members of each bucket of a band are compared with `pivots` of them, the shortest among these, so that copies never meet all of one another. Buckets whose members are then all in
+    one class need no more, as classes are what is asked for. The members of the others are compared across classes where they share one of their rarest tokens (see prefixes), which any two
+    similar texts do; so no link is lost, and texts that merely hold one common passage do not meet.
 
     Texts without words (null and empty ones too) are classes of their own, row by row. A null doc_id counts as larger than all others; rows alike in doc_id
     and text fall into one class, of which one row is kept. Other columns are left aside. An empty table gives no rows."""
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     for seed in range(8):  # until no two texts share a 64-bit hash; a second hash tells
         keyed = plain.select("doc_id", "text", _node(F.col("text"), seed).alias("node"))
         source = keyed.withColumn("check", _node(F.col("text"), seed + 100))
         kind = plain.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, node long, check long, n long, bands array<long>"
+        schema = f"doc_id {kind}, node long, check long, n long, bands array<long>, sketch binary"
         signed = shared.staged(source.select("doc_id", "text", "node", "check").mapInArrow(_signer(words, n_bands, rows), schema), "signatures")
-        nodes = shared.staged(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("check").alias("c"), F.max("check").alias("d")), "nodes")
-        if nodes.where("c != d").isEmpty():
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n", "bands", "sketch"))
+        nodes = signed.where("n > 0").groupBy("node").agg(first.alias("f"), F.min("check").alias("c"), F.max("check").alias("d"))
+        nodes = shared.staged(nodes.select("node", F.col("f.doc_id").alias("rep"), "f.n", "f.bands", "f.sketch", (F.col("c") != F.col("d")).alias("clash")), "nodes")
+        if nodes.where("clash").isEmpty():
             break
     rows_ = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    full = rows_.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    live = shared.staged(rows_.join(full, "bucket"), "buckets")
-    links = done = None
-    found = None
-    for step in range(pivots + 1):
-        here = live if found is None else live.join(found, "node", "left")
-        here = here.withColumn("class", F.col("node") if found is None else F.coalesce("component", "node"))
-        if found is not None:  # buckets that still hold several classes
-            mixed = here.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-            here = live = shared.staged(here.join(mixed, "bucket").drop("component"), "mixed-buckets")
-            live = live.drop("class")
-            if here.isEmpty():
-                break
-        order = F.struct(F.xxhash64(F.lit(step), F.col("node")).alias("o"), F.col("node"), F.col("n"), F.col("class"))
-        if step < pivots:
-            other = here.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.node").alias("pn"), F.col("p.n").alias("pk"), F.col("p.class").alias("pc"))
-        else:
-            other = here.select("bucket", F.col("node").alias("pn"), F.col("n").alias("pk"), F.col("class").alias("pc"))
-        near = F.least("n", "pk") >= F.lit(least) * F.greatest("n", "pk") - 1e-9
-        apart = (F.col("class") != F.col("pc")) if step < pivots else (F.col("class") < F.col("pc"))
-        pairs = here.join(other, "bucket").where(apart & near).select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = shared.staged(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
-        if pairs.isEmpty():
-            continue
-        texts = shared.staged(_texts(keyed, nodes, pairs), "texts")
-        met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        fresh = shared.staged(met.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(words, least), "a long, b long"), "links")
-        links = fresh if links is None else links.union(fresh)
-        found = shared.staged(components(links), "classes").select("node", "component")
-    by_node = nodes.select("node", "rep")
-    if found is not None:
-        by_node = by_node.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    else:
-        by_node = by_node.select("node", "rep", F.col("node").alias("component"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar; texts are fetched for those only whose sketches allow it."""
+        sketch = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+        likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_plausible(least), "a long, b long")
+        likely = shared.staged(likely, "pairs")
+        texts = shared.staged(_texts(keyed, nodes, likely), "texts")
+        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        met = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+        return shared.staged(met.mapInArrow(_verifier(words, least), "a long, b long"), "links")
+
+    def near(other: str):
+        return F.least("n", other) >= F.lit(least) * F.greatest("n", other) - 1e-9
+
+    pair = [F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")]
+    lead = [F.min(F.struct(*([F.col("n").alias("o")] if k == 0 else []), F.xxhash64(F.lit(k), F.col("node")), "node", "n")).alias(f"p{k}") for k in range(pivots)]
+    chosen = rows_.groupBy("bucket").agg(F.count("*").alias("k"), *lead).where("k > 1")
+    chosen = chosen.select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{k}.node").alias("pn"), F.col(f"p{k}.n").alias("pk")) for k in range(pivots))))).alias("p")).select("bucket", "p.pn", "p.pk")
+    first_pairs = rows_.join(chosen, "bucket").where((F.col("node") != F.col("pn")) & near("pk")).select(*pair).distinct()
+    first_pairs = shared.staged(first_pairs, "candidates")
+    links = compared(first_pairs)
+    found = shared.staged(components(links), "classes")
+    here = rows_.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("class"))
+    mixed = here.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
+    open_ = shared.staged(here.join(mixed, "bucket").select("node", "n", "class").distinct(), "mixed-nodes")
+    if not open_.isEmpty():
+        texts = shared.staged(_texts_of(keyed, nodes, open_.select("node")), "mixed-texts")
+        tokens = shared.staged(prefixes(texts, words, least).join(open_, "node"), "prefixes")
+        across = tokens.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("token")
+        tokens = tokens.join(across, "token")
+        other = tokens.select("token", F.col("node").alias("pn"), F.col("n").alias("pk"), F.col("class").alias("pc"))
+        rest = tokens.join(other, "token").where((F.col("class") < F.col("pc")) & near("pk")).select(*pair).distinct().join(first_pairs, ["a", "b"], "left_anti")
+        more = compared(shared.staged(rest, "candidates"))
+        # links between classes join them
+        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+        joined = shared.staged(components(ends), "classes").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        old = found.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+        lone = joined.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+        found = shared.staged(old.union(lone), "classes")
+    by_node = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     named = by_node.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("z"), "rep", "node")).alias("m")).select("component", F.col("m.rep").alias("class_id"), F.col("m.node").alias("class_node"))
     of_node = by_node.join(named, "component").select("node", "class_id", "class_node")
     met = signed.select("doc_id", "node", "n").join(of_node, "node", "left")
