@@ -175,7 +175,7 @@ def calibrate(labelled: DataFrame, stratum: str = "lang", label: str = "quality"
     out: dict[str | None, dict[str, float]] = {s: {} for s in strata}
     for (s, rule), (good, bad) in counts.items():
         # cutoff j rejects the cells above GRID - 1 - j
-        many = certified(good[:0:-1].tolist(), risk / len(rules()), (1 - confidence) / tests)
+        many = min(GRID, certified(good[::-1].tolist(), risk / len(rules()), (1 - confidence) / tests))
         caught = np.cumsum(bad[:0:-1])[:many]
         if many and caught[-1] > 0:
             out[s][rule] = float(GRID - 1 - int(np.argmax(caught == caught[-1])))

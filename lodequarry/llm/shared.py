@@ -96,11 +96,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         to = int(np.searchsorted(ends, origin + len(_POW), "right"))
         if to == at:  # one very long word
             b = buf[origin : ends[at]].astype(np.uint64) + np.uint64(1)
-            h = np.uint64(0)
+            h = np.zeros(1, np.uint64)  # arrays wrap around silently
             for k in range(0, len(b), size):
                 part = b[k : k + size]
                 h = h * _POW[len(part)] + (part * _POW[: len(part)][::-1]).sum(dtype=np.uint64)
-            out[at] = h * np.uint64(_BASE) + np.uint64(len(b))
+            out[at] = (h * np.uint64(_BASE) + np.uint64(len(b)))[0]
             at += 1
             continue
         end = int(ends[to - 1])

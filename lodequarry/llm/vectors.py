@@ -90,7 +90,7 @@ def shards(nodes: DataFrame, overlap: int, depth: int = 4) -> DataFrame:
         big = shared.staged(sizes.where(F.col("size") > CAP), "big-shards")
         if big.isEmpty():
             break
-        kept = members.join(big, "shard", "left_anti")
+        kept = members.join(big, "shard", "left_anti").select("node", "shard", "home")
         done = kept if done is None else done.union(kept)
         split = members.join(big, "shard").join(nodes.select("node", "vector"), "node")
         sampled = split.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1 << 30)) < F.lit(SAMPLE * float(1 << 30)) / F.col("size"))
