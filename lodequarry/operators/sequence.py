@@ -5,7 +5,8 @@ Runs and n-grams are windows. What depends on its own earlier steps (grammar, su
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import heapq
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -99,105 +100,155 @@ class Grammar:
     status: str = "done"
 
 
-def _equal_runs(nodes: list[tuple[str, int, int]], allowed: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-    out, a = [], 0
-    for b in range(1, len(nodes) + 1):
-        if b == len(nodes) or nodes[b][0] != nodes[a][0]:
-            if b - a >= 2 and allowed(nodes[a][1], nodes[b - 1][2]):
-                out.append((a, b))
-            a = b
-    return out
-
-
 def grammar(symbols: Sequence[str], cap: int = 50_000, most_rounds: int = 100_000, allowed: Callable[[int, int], bool] = lambda first, last: True) -> Grammar:
     """Fold a sequence: first runs of equal symbols, then again and again the most frequent pair of unlike neighbours and runs of the macros that arise.
 
     A round replaces one key everywhere. Runs are keyed by symbol and exact length, the largest saving first (ties: longer, more frequent, earlier, smaller
     symbol); pairs by frequency (ties: earlier, smaller); macro runs by symbol over all lengths, if they save more than one node. Pairs that touch share no node:
     the earlier one is replaced. `allowed` tells whether positions from first to last may become one node. Sequences of over `cap` nodes after the first
-    folding are left there; `most_rounds` bounds the whole."""
-    g = Grammar([(s, k, k) for k, s in enumerate(symbols)])
-    fresh = 0
-    rounds = 0
-
-    def replace(spans: list[tuple[int, int]], name_of: Callable[[int], str], stage: str, said: str) -> None:
-        out, at = [], 0
-        for a, b in spans:
-            out.extend(g.nodes[at:a])
-            out.append((name_of(b - a), g.nodes[a][1], g.nodes[b - 1][2]))
-            at = b
-        out.extend(g.nodes[at:])
-        g.nodes = out
-        g.steps.append((stage, said, len(spans)))
-
-    def run_macro(symbol: str, n: int, loop: bool) -> str:
-        nonlocal fresh
+    folding are left there; `most_rounds` bounds the whole.
+
+    The rounds are those of a scan after each replacement, but only what a replacement touches is counted anew: nodes form a linked list, and pairs keep where
+    they stand. A macro's run can only arise when the macro does, so runs are looked for among its own nodes."""
+    g = Grammar([])
+    rounds = fresh = 0
+    # runs of the sequence itself: the runs of one symbol never touch, so one scan finds all keys
+    nodes: list[tuple[str, int, int]] = []
+    by: dict[tuple[str, int], list[int]] = defaultdict(list)
+    k = 0
+    while k < len(symbols):
+        e = k + 1
+        while e < len(symbols) and symbols[e] == symbols[k]:
+            e += 1
+        if e - k >= 2 and allowed(k, e - 1):
+            by[symbols[k], e - k].append(len(nodes))
+            nodes.append((symbols[k], k, e - 1))
+        else:
+            nodes.extend((symbols[j], j, j) for j in range(k, e))
+        k = e
+    order = sorted(by, key=lambda x: (-len(by[x]) * (x[1] - 1), -x[1], -len(by[x]), nodes[by[x][0]][1], x[0]))
+    if len(order) + 1 > most_rounds:
+        order, g.status = order[:most_rounds], "round_limit_exceeded"
+    named: set[int] = set()
+    for symbol, n in order:
         fresh += 1
         name = f"M{fresh}"
-        g.macros[name] = Macro(name, "run", (symbol,), n, loop)
-        return name
-
-    while True:  # runs of the sequence itself
-        rounds += 1
-        if rounds > most_rounds:
-            g.status = "round_limit_exceeded"
-            return g
-        by: dict[tuple[str, int], list[tuple[int, int]]] = defaultdict(list)
-        for a, b in _equal_runs(g.nodes, allowed):
-            by[g.nodes[a][0], b - a].append((a, b))
-        if not by:
-            break
-        (symbol, n), spans = min(by.items(), key=lambda x: (-len(x[1]) * (x[0][1] - 1), -x[0][1], -len(x[1]), x[1][0][0], x[0][0]))
-        name = run_macro(symbol, n, True)
-        replace(spans, lambda _, name=name: name, "run_fold", name)
-    if len(g.nodes) > cap:
-        g.status = "sequence_too_large_for_full_pair_discovery"
+        g.macros[name] = Macro(name, "run", (symbol,), n, True)
+        g.steps.append(("run_fold", name, len(by[symbol, n])))
+        for at in by[symbol, n]:
+            nodes[at] = (name, *nodes[at][1:])
+            named.add(at)
+    if g.status != "done":
+        left = {at for x in by for at in by[x]} - named
+        g.nodes = [y for at, x in enumerate(nodes) for y in ([(x[0], j, j) for j in range(x[1], x[2] + 1)] if at in left else [x])]
         return g
+    rounds = len(order) + 1
+    if len(nodes) > cap:
+        g.nodes, g.status = nodes, "sequence_too_large_for_full_pair_discovery"
+        return g
+
+    size = len(nodes)
+    sym, first, last = [x[0] for x in nodes], [x[1] for x in nodes], [x[2] for x in nodes]
+    nxt, prv = [*range(1, size), -1] if size else [], list(range(-1, size - 1))
+    places: dict[tuple[str, str], set[int]] = defaultdict(set)
+    heaps: dict[tuple[str, str], list[int]] = defaultdict(list)
+    queue: list[tuple[int, int, tuple[str, str]]] = []
+
+    def earliest(pair: tuple[str, str]) -> int:
+        h, have = heaps[pair], places[pair]
+        while h[0] not in have:
+            heapq.heappop(h)
+        return h[0]
+
+    def offer(pair: tuple[str, str]) -> None:
+        n = len(places[pair])
+        if n >= 2:
+            heapq.heappush(queue, (-n, first[earliest(pair)], pair))
+
+    def put(i: int) -> None:
+        j = nxt[i]
+        if j >= 0 and sym[i] != sym[j] and allowed(first[i], last[j]):
+            pair = sym[i], sym[j]
+            places[pair].add(i)
+            heapq.heappush(heaps[pair], i)
+            touched.add(pair)
+
+    def drop(i: int) -> None:
+        if i >= 0 and nxt[i] >= 0:
+            pair = sym[i], sym[nxt[i]]
+            if i in places.get(pair, ()):
+                places[pair].discard(i)
+                touched.add(pair)
+
+    def merge(i: int, j: int, name: str) -> None:
+        """Nodes i to j become one, at i."""
+        end = nxt[j]
+        drop(prv[i])
+        at = i
+        while at != end:
+            drop(at)
+            at = nxt[at]
+        sym[i], last[i], nxt[i] = name, last[j], end
+        if end >= 0:
+            prv[end] = i
+        if prv[i] >= 0:
+            put(prv[i])
+        put(i)
+
+    touched: set[tuple[str, str]] = set()
+    for i in range(size):
+        put(i)
+    for pair in touched:
+        offer(pair)
     while True:
         rounds += 1
         if rounds > most_rounds:
             g.status = "round_limit_exceeded"
-            return g
-        count: Counter = Counter()
-        first: dict[tuple[str, str], int] = {}
-        for k in range(len(g.nodes) - 1):
-            x, y = g.nodes[k], g.nodes[k + 1]
-            if x[0] != y[0] and allowed(x[1], y[2]):
-                count[x[0], y[0]] += 1
-                first.setdefault((x[0], y[0]), k)
-        if not count:
             break
-        pair = min(count, key=lambda p: (-count[p], first[p], p))
-        if count[pair] < 2:
+        pair = None
+        while queue:
+            n, at, pair = heapq.heappop(queue)
+            if len(places[pair]) == -n and first[earliest(pair)] == at:
+                break
+            pair = None
+        if pair is None:
             break
+        touched.clear()
         fresh += 1
         name = f"M{fresh}"
         g.macros[name] = Macro(name, "pair", pair, 1, False)
-        spans, k = [], 0
-        while k < len(g.nodes) - 1:
-            if (g.nodes[k][0], g.nodes[k + 1][0]) == pair and allowed(g.nodes[k][1], g.nodes[k + 1][2]):
-                spans.append((k, k + 2))
-                k += 1
-            k += 1
-        replace(spans, lambda _, name=name: name, "pair_grammar", name)
-        while True:
+        spots = sorted(places[pair])
+        for i in spots:
+            merge(i, nxt[i], name)
+        g.steps.append(("pair_grammar", name, len(spots)))
+        runs_, k = [], 0
+        while k < len(spots):
+            e = k
+            while e + 1 < len(spots) and nxt[spots[e]] == spots[e + 1]:
+                e += 1
+            if e > k and allowed(first[spots[k]], last[spots[e]]):
+                runs_.append((spots[k], spots[e], e - k + 1))
+            k = e + 1
+        rounds += 1
+        if rounds <= most_rounds and sum(n - 1 for _, _, n in runs_) > 1:
+            names = {}
+            for n in sorted({n for _, _, n in runs_}):
+                fresh += 1
+                names[n] = f"M{fresh}"
+                g.macros[names[n]] = Macro(names[n], "run", (name,), n, True)
+            for i, j, n in runs_:
+                merge(i, j, names[n])
+            g.steps.append(("macro_run_fold", "+".join(names.values()), len(runs_)))
             rounds += 1
-            if rounds > most_rounds:
-                g.status = "round_limit_exceeded"
-                return g
-            folds: dict[str, list[tuple[int, int]]] = defaultdict(list)
-            for a, b in _equal_runs(g.nodes, allowed):
-                m = g.macros.get(g.nodes[a][0])
-                if m is not None and not m.is_loop:
-                    folds[m.name].append((a, b))
-            if not folds:
-                break
-            gain = lambda spans: sum(b - a - 1 for a, b in spans)
-            symbol, spans = min(folds.items(), key=lambda x: (-gain(x[1]), -max(b - a for a, b in x[1]), -len(x[1]), x[1][0][0], x[0]))
-            if gain(spans) <= 1:
-                break
-            names = {n: run_macro(symbol, n, True) for n in sorted({b - a for a, b in spans})}
-            replace(spans, names.__getitem__, "macro_run_fold", "+".join(names.values()))
+        for p in touched:
+            offer(p)
+        if rounds > most_rounds:
+            g.status = "round_limit_exceeded"
+            break
+    i = 0 if size else -1
+    while i >= 0:
+        g.nodes.append((sym[i], first[i], last[i]))
+        i = nxt[i]
     return g
 
 

@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 
 from lodequarry.operators import sequence as Q
 
+from . import slow_grammar
+
 SYMBOLS = st.lists(st.sampled_from("abc"), max_size=60)
 
 
@@ -22,6 +24,14 @@ def test_grammar_keeps_the_sequence(s):
     assert all(n < 2 for n in pairs.values())
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from("abc"), max_size=90), st.booleans())
+def test_grammar_equals_the_slow_one(s, guarded):
+    ok = (lambda a, b: not (a < 20 <= b)) if guarded else (lambda a, b: True)
+    got, want = Q.grammar(s, allowed=ok), slow_grammar.grammar(s, allowed=ok)
+    assert (got.nodes, got.steps, got.macros, got.status) == (want.nodes, want.steps, want.macros, want.status)
+
+
 @settings(deadline=None, max_examples=100)
 @given(SYMBOLS)
 def test_tree_has_every_position_once(s):
