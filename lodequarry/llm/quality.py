@@ -160,8 +160,8 @@ def calibrate(labelled: DataFrame, stratum: str = "lang", label: str = "quality"
 
     With the given confidence, in every stratum at once the share of good documents that the rules together reject beyond the base is below `risk`: each
     rule of each stratum gets risk / rules, and (1 - confidence) / (rules * strata) of the error (Bonferroni); its cutoffs are tested in
-    a fixed sequence with exact binomial tails. Of the certified cutoffs the one that rejects most bad documents counts, the most lenient if
-    several do. A stratum with too few good labels certifies none and rejects by the base alone. The driver sees a row per stratum, rule and cell."""
+    a fixed sequence with exact binomial tails. Of the certified cutoffs the one with the most bad documents rejected, less the good ones, counts, the most lenient
+    of equals, if it rejects more bad than good. A stratum with too few good labels certifies none and rejects by the base alone. The driver sees a row per stratum, rule and cell."""
     each = labelled.where(F.col(label).isin(0, 1) & ~base_failed())
     cell = lambda value, unit: F.least(F.floor(value / unit), F.lit(GRID)).cast("int")
     long = each.select(F.col(stratum).alias("stratum"), F.col(label).alias("label"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), cell(v, u).alias("cell")) for r, (v, u) in rules().items()))).alias("x"))
@@ -176,9 +176,9 @@ def calibrate(labelled: DataFrame, stratum: str = "lang", label: str = "quality"
     for (s, rule), (good, bad) in counts.items():
         # cutoff j rejects the cells above GRID - 1 - j
         many = min(GRID, certified(good[::-1].tolist(), risk / len(rules()), (1 - confidence) / tests))
-        caught = np.cumsum(bad[:0:-1])[:many]
-        if many and caught[-1] > 0:
-            out[s][rule] = float(GRID - 1 - int(np.argmax(caught == caught[-1])))
+        gain = np.cumsum(bad[:0:-1] - good[:0:-1])[:many]
+        if many and gain.max() > 0:
+            out[s][rule] = float(GRID - 1 - int(np.argmax(gain)))
     return Cutoffs(out, risk, confidence, tests)
 
 
