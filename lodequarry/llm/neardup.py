@@ -104,8 +104,12 @@ def _signer(words: int, n_bands: int, rows: int):
                 got = bands(made, rows)
                 sketch = pa.array([x.tobytes() for x in (shared.mix(made.view(np.uint64)) & np.uint64(255)).astype(np.uint8)], pa.binary())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands), pa.array(got.reshape(-1)))
+                bit = np.zeros((len(n), -(-made.shape[1] // 64) * 64), np.uint8)
+                bit[:, : made.shape[1]] = (shared.mix(made.view(np.uint64)) >> np.uint64(20)) & np.uint64(1)
+                packed = np.packbits(bit, axis=1).view(np.int64)
+                signs = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.reshape(-1)))
                 keep = [k for k, c in enumerate(batch.schema.names) if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n), flat, sketch], [*(batch.schema.names[k] for k in keep), "n", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n), flat, sketch, signs], [*(batch.schema.names[k] for k in keep), "n", "bands", "sketch", "signs"])
 
     return run
 
@@ -200,13 +204,13 @@ def _prefixer(words: int, least: float, told):
                 reach = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
                 use = (place < reach[doc]) & (seen > 1)
                 node = batch.column(batch.schema.get_field_index("node")).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[doc[use]]), pa.array(token[use].view(np.int64))], ["node", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[doc[use]]), pa.array(token[use].view(np.int64)), pa.array(place[use])], ["node", "token", "place"])
 
     return run
 
 
 def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """node, token: of each text (node, text), its rarest tokens, so many that two texts of a similarity of at least `least` share one of them.
+    """node, token, place: of each text (node, text), its rarest tokens in order, so many that two texts of a similarity of at least `least` share one of them.
 
     That holds for any one order of all tokens; this one puts what occurs seldom first (by a bounded table of counters), so passages that very many texts share come last and
     make candidates only of texts that consist of little else. Tokens that occur once are left out, as they meet no other."""
@@ -216,7 +220,7 @@ def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
     for r in parts:
         tally[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["tally"], np.int64)
     told = spark.sparkContext.broadcast(np.minimum(tally, (1 << 31) - 1).astype(np.int32))
-    return texts.select("node", "text").mapInArrow(_prefixer(words, least, told), "node long, token long")
+    return texts.select("node", "text").mapInArrow(_prefixer(words, least, told), "node long, token long, place long")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -250,11 +254,11 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
         keyed = plain.select("doc_id", "text", _node(F.col("text"), seed).alias("node"))
         source = keyed.withColumn("check", _node(F.col("text"), seed + 100))
         kind = plain.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, node long, check long, n long, bands array<long>, sketch binary"
+        schema = f"doc_id {kind}, node long, check long, n long, bands array<long>, sketch binary, signs array<long>"
         signed = shared.staged(source.select("doc_id", "text", "node", "check").mapInArrow(_signer(words, n_bands, rows), schema), "signatures")
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n", "bands", "sketch"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n", "bands", "sketch", "signs"))
         nodes = signed.where("n > 0").groupBy("node").agg(first.alias("f"), F.min("check").alias("c"), F.max("check").alias("d"))
-        nodes = shared.staged(nodes.select("node", F.col("f.doc_id").alias("rep"), "f.n", "f.bands", "f.sketch", (F.col("c") != F.col("d")).alias("clash")), "nodes")
+        nodes = shared.staged(nodes.select("node", F.col("f.doc_id").alias("rep"), "f.n", "f.bands", "f.sketch", "f.signs", (F.col("c") != F.col("d")).alias("clash")), "nodes")
         if nodes.where("clash").isEmpty():
             break
     rows_ = nodes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -285,11 +289,21 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
     open_ = shared.staged(here.join(mixed, "bucket").select("node", "n", "class").distinct(), "mixed-nodes")
     if not open_.isEmpty():
         texts = shared.staged(_texts_of(keyed, nodes, open_.select("node")), "mixed-texts")
-        tokens = shared.staged(prefixes(texts, words, least).join(open_, "node"), "prefixes")
+        many = -(-n_bands * rows // 64)
+        sign = [F.col("signs")[k].alias(f"s{k}") for k in range(many)]
+        tokens = shared.staged(prefixes(texts, words, least).join(open_, "node").join(nodes.select("node", *sign), "node"), "prefixes")
         across = tokens.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("token")
         tokens = tokens.join(across, "token")
-        other = tokens.select("token", F.col("node").alias("pn"), F.col("n").alias("pk"), F.col("class").alias("pc"))
-        rest = tokens.join(other, "token").where((F.col("class") < F.col("pc")) & near("pk")).select(*pair).distinct().join(first_pairs, ["a", "b"], "left_anti")
+        other = tokens.select("token", F.col("node").alias("pn"), F.col("n").alias("pk"), F.col("class").alias("pc"), F.col("place").alias("pp"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(many)))
+        # the first token they share stands early enough for all that they must share behind it
+        enough = F.least(F.col("n") - F.col("place"), F.col("pk") - F.col("pp")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("pk")) - 1e-9
+        # one bit of each register: equal by chance or for the same point; four standard deviations are allowed
+        m, p = n_bands * rows, (1 + least) / 2
+        unlike = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0")))
+        for k in range(1, many):
+            unlike = unlike + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}")))
+        alike = unlike <= F.lit(m * (1 - p) + 4 * float(np.sqrt(m * p * (1 - p))))
+        rest = tokens.join(other, "token").where((F.col("class") < F.col("pc")) & near("pk") & enough & alike).select(*pair).distinct().join(first_pairs, ["a", "b"], "left_anti")
         more = compared(shared.staged(rest, "candidates"))
         # links between classes join them
         of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
