@@ -2,7 +2,8 @@
 
 Equal vectors of a label are one node with a multiplicity. Labels with too many nodes are split by centres that lie apart, each node going to its nearest
 centres; the nearest is its home. Every shard builds a graph; a node's adjacency lists are united; each node is then searched for in its home
-shard. Links are counted where both ends have the same home, and written down only where they cross. The result is audited against brute force.
+shard. Links are counted where both ends have the same home, and written down only where they cross. The result is audited against brute force
+by size of group; where no try passes the audit, all nodes of a label are compared.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from lodequarry.llm.components import components
 CAP = 4096  # nodes of a shard that is not split further
 FAN = 128  # centres that a split makes at most
 SAMPLE = 2048  # nodes that centres are chosen from
+LONG = 8  # slots of a node that are kept for random edges, a quarter of all at most
+BLOCK = 2048  # nodes of a block of the exact comparison
 
 
 def nodes_of(vectors: DataFrame, id_column: str, vector_column: str, label_column: str) -> tuple[DataFrame, DataFrame]:
@@ -106,10 +109,10 @@ def shards(nodes: DataFrame, overlap: int, depth: int = 4) -> DataFrame:
 
 
 def neighbours(unit: np.ndarray, degree: int, width: int, alpha: float, seed: int) -> np.ndarray:
-    """Out-edges of each vector by robust pruning of its nearest vectors and some random ones; -1 fills up."""
+    """Out-edges of each vector by robust pruning of its nearest vectors and some random ones, and up to LONG random ones that pruning cannot displace; -1 fills up."""
     n = len(unit)
     rng = np.random.default_rng(seed)
-    width = min(width, n - 1)
+    width, short = min(width, n - 1), degree - min(LONG, degree // 4)
     out = np.full((n, degree), -1, np.int64)
     if n < 2:
         return out
@@ -118,7 +121,8 @@ def neighbours(unit: np.ndarray, degree: int, width: int, alpha: float, seed: in
         s = unit[rows] @ unit.T
         s[np.arange(len(rows)), rows] = -2
         near = np.argpartition(-s, width - 1, axis=1)[:, :width]
-        pool = np.concatenate([near, rng.integers(0, n, (len(rows), 16))], axis=1)
+        far_off = rng.integers(0, n, (len(rows), 16))
+        pool = np.concatenate([near, far_off], axis=1)
         ps = np.take_along_axis(s, pool, 1)
         order = np.argsort(-ps, axis=1, kind="stable")
         pool, ps = np.take_along_axis(pool, order, 1), np.take_along_axis(ps, order, 1)
@@ -128,12 +132,16 @@ def neighbours(unit: np.ndarray, degree: int, width: int, alpha: float, seed: in
         between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ijd,ikd->ijk", unit[pool], unit[pool])))
         got = np.zeros(len(rows), np.int64)
         for k in range(pool.shape[1]):
-            take = open_[:, k] & (got < degree)
+            take = open_[:, k] & (got < short)
             r = np.flatnonzero(take)
             out[rows[r], got[r]] = pool[r, k]
             got[r] += 1
             open_[r] &= alpha * between[r, k] > far[r]
             open_[r, k] = False
+        for to in far_off.T:
+            r = np.flatnonzero((got < degree) & (to != rows) & (out[rows] != to[:, None]).all(1))
+            out[rows[r], got[r]] = to[r]
+            got[r] += 1
     return out
 
 
@@ -153,7 +161,7 @@ def _build(degree: int, width: int, alpha: float):
 def search(unit: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: float, beam: int) -> np.ndarray:
     """For each query (a position), a row of booleans over all vectors: those found with a cosine of `least` or more, itself left out.
 
-    A greedy search with a beam runs from the medoid until every query's beam is expanded; then all found in range are expanded, and what they find in range, until nothing is new."""
+    A greedy search with a beam runs from the medoid and the query itself until every query's beam is expanded; then all found in range are expanded, and what they find in range, until nothing is new."""
     n, q = len(unit), len(queries)
     found, visited = np.zeros((q, n), bool), np.zeros((q, n), bool)
     start = int(np.argmax(unit @ unit.mean(0)))
@@ -164,6 +172,10 @@ def search(unit: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: floa
     beam_s[:, 0] = np.einsum("ij,j->i", unit[queries], unit[start])
     visited[rows, start] = True
     found[rows, start] = beam_s[:, 0] >= least
+    other = np.flatnonzero(queries != start)
+    if beam > 1:
+        beam_at[other, 1], beam_s[other, 1] = queries[other], 1.0
+    visited[rows, queries] = found[rows, queries] = True
     opened = np.zeros((q, beam), bool)
     active = rows
     while len(active):
@@ -286,20 +298,61 @@ def links_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
     cross = found.where("links < 0").select("node", "to")
     both = cross.union(cross.select("to", "node")).distinct()
     across = both.join(nodes.select(F.col("node").alias("to"), "copies"), "to").groupBy("node").agg(F.sum("copies").alias("more"))
-    own = found.where("links >= 0").select("node", "links")
+    own = found.where("links >= 0").groupBy("node").agg(F.sum("links").alias("links"))
     return own.join(across, "node", "left").select("node", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"))
 
 
-def recall(found: DataFrame, nodes: DataFrame, least: float, queries: int = 400) -> float:
-    """The share of the links of some nodes, taken by hash, that were found; brute force over all nodes. `queries` bounds what tasks are told."""
+def _blocks(least: float):
+    import pandas as pd
+
+    def run(pdf):
+        pdf = pdf.sort_values("node")
+        node, copies, unit = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), _unit(pdf["vector"])
+        part, a, b = pdf["part"].to_numpy(), pdf["a"].iloc[0], pdf["b"].iloc[0]
+        met = unit @ unit.T >= least
+        met &= part[:, None] != part[None, :] if a != b else ~np.eye(len(node), dtype=bool)
+        return pd.DataFrame({"node": node, "to": node[_forest(met)], "links": met @ copies}).astype({"node": "int64", "to": "int64", "links": "int64"})
+
+    return run
+
+
+def exact(nodes: DataFrame, least: float) -> DataFrame:
+    """node, to, links as of `link`, from all pairs of a label: a row per node and pair of blocks, with the links in it and the smallest node of it that they reach. Quadratic in a label."""
+    parts = nodes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = nodes.join(parts, "label").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = dealt.select("label", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "vector", "copies")
+    return shared.staged(pairs.groupBy("label", "a", "b").applyInPandas(_blocks(least), "node long, to long, links long"), "vector-pairs")
+
+
+def recall(found: DataFrame, nodes: DataFrame, least: float, queries: int = 800) -> float:
+    """The share of a node's links that were found: the mean over nodes with about as many links, and of these means the least.
+
+    Brute force over all nodes for some, taken by hash: half from those with no link found, the others evenly from each class of links found. A node counts for
+    the nodes of its class that it stands for. Classes by links (powers of two) with under ten nodes taken are one. `queries` is about what tasks are told."""
     spark = nodes.sparkSession
-    some = nodes.orderBy(F.xxhash64(F.lit(9), "node")).limit(queries).select("node", "label", "vector").toPandas()
+    links = links_of(found, nodes).withColumn("found_class", F.floor(F.log2(F.col("links") + 1)).cast("int"))
+    sizes = {r["found_class"]: r["n"] for r in links.groupBy("found_class").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return 1.0
+    others = max(1, len(sizes) - (0 in sizes))
+    rate = F.lit(0.0)
+    for k, n in sizes.items():
+        rate = F.when(F.col("found_class") == k, min(1.0, queries / 2 / (1 if k == 0 else others) / n)).otherwise(rate)
+    some = links.where(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 30)) < rate * float(1 << 30)).join(nodes, "node").select("node", "label", "vector", "links", "found_class").toPandas()
     if not len(some):
         return 1.0
     told = spark.sparkContext.broadcast((some["label"].to_numpy(), some["node"].to_numpy(), _unit(some["vector"])))
-    true = nodes.select("node", "label", "vector", "copies").mapInArrow(_auditor(told, least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    got = true.join(links_of(found, nodes), "node").agg(F.sum("n"), F.sum(F.least("n", "links"))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    true = nodes.select("node", "label", "vector", "copies").mapInArrow(_auditor(told, least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toPandas()
+    taken = some.groupby("found_class").size().to_dict()
+    some = some.merge(true, on="node")  # nodes without any link have nothing to find
+    if not len(some):
+        return 1.0
+    n, got = some["n"].to_numpy(), np.minimum(some["n"], some["links"]).to_numpy()
+    stands = some["found_class"].map(sizes).to_numpy() / some["found_class"].map(taken).to_numpy()
+    group = np.floor(np.log2(n + 1)).astype(int)
+    group[np.bincount(group)[group] < 10] = -1
+    return float(min(np.average((got / n)[group == g], weights=stands[group == g]) for g in np.unique(group)))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, wanted: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
@@ -307,13 +360,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, wanted: float = 0.9
 
     Two vectors of one label that is not null link if the cosine, in double precision, is at least `least`. Vectors that are null, empty, zero or hold
     null or non-finite components have no links and are components of their own. Equal vectors link with one another. Links are those that the graph search finds; if an
-    audit against brute force finds fewer than `wanted` of them, beam, degree and overlap are doubled, twice at most. Rows with one id are
+    audit against brute force finds fewer than `wanted` of them for groups of any size, beam, degree and overlap are doubled, twice at most; then all pairs are compared. Rows with one id are
     vectors each of their own. A null id is smaller than none. Vectors of one label have one length. Other columns are left aside; an empty table gives no rows."""
     rows, nodes = nodes_of(vectors, id_column, vector_column, label_column)
     for wide in (1, 2, 4):
         found = link(nodes, least, degree=32 * wide, width=64 * wide, beam=48 * wide, overlap=1 + wide)
         if recall(found, nodes, least) >= wanted:
             break
+    else:
+        found = exact(nodes, least)
     joined = shared.staged(components(found.where("node != to"), "node", "to"), "vector-components")
     by_node = nodes.join(joined, "node", "left").select("node", "copies", "first", F.coalesce("component", "node").alias("component"))
     named = by_node.groupBy("component").agg(F.min("first").alias("component_id"))

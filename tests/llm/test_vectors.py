@@ -67,3 +67,33 @@ def test_pruned_graph_is_searchable():
     true = unit @ unit.T >= 0.6
     np.fill_diagonal(true, False)
     assert not (found & ~true).any() and (found & true).sum() >= 0.95 * true.sum()
+
+
+def hot_and_small():
+    rng = np.random.default_rng(7)
+    v = np.concatenate([cluster(rng, 500, 0.03), rng.normal(size=(300, 16)), *(cluster(rng, 3, 0.03) for _ in range(100))])
+    return [(k, [float(x) for x in x_], 0, "") for k, x_ in enumerate(v)]
+
+
+def test_links_outside_a_hot_group_are_found():
+    unit = np.array([r[1] for r in hot_and_small()])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = unit @ unit.T >= 0.93
+    np.fill_diagonal(true, False)
+    edges = vectors.neighbours(unit, 32, 64, 1.2, 1)
+    assert ((edges[:500] >= 500).sum(1) > 0).mean() > 0.9
+    found = vectors.search(unit, edges, np.arange(len(unit)), 0.93, 48)
+    assert not (found & ~true).any() and (found & true)[500:].sum() >= 0.98 * true[500:].sum() and found[:500].sum() >= 0.98 * true[:500].sum()
+
+
+def test_audit_sees_small_groups_and_all_pairs_follow(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 300)
+    rows = hot_and_small()
+    n, label = brute(rows)
+    _, nodes = vectors.nodes_of(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", "label")
+    whole = vectors.exact(nodes, 0.93)
+    lost = whole.where("node = -1").union(vectors.links_of(whole, nodes).selectExpr("node", "node as to", "if(links > 100, links, 0L) as links"))
+    assert vectors.recall(whole, nodes, 0.93) == 1 and vectors.recall(lost, nodes, 0.93) < 0.5
+    monkeypatch.setattr(vectors, "link", lambda *a, **k: lost)
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k]["n_links"] == n[k] and got[k]["component_id"] == label[k] for k in range(len(rows)))
