@@ -29,6 +29,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("GPL-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
@@ -43,6 +53,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 # A notice has one of these; and the names licence files go by.
 ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|public domain|redistribut|hereby granted|spdx"
+ANCHOR_TERM = r"^(licen[cs]|sublicen[cs]|copyright|redistribut)|^(rights|domain|hereby|mpl)$"
+SPDX = r"(?i)spdx-license-identifier:[ \t]*(\(?[a-z0-9][a-z0-9.+-]*\)?(?:[ \t]+(?:and|or|with)[ \t]+\(?[a-z0-9][a-z0-9.+-]*\)?)*)"
 FILE_NAME = r"(?i)^(un)?licen[cs]e([._-].*)?$|^copying([._-].*)?$|^notice(\.(txt|md))?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -80,26 +92,42 @@ def _map(values: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv))
 
 
-def _best(unit: Column, weights: dict[str, float], rare: float, templates: list[tuple[str, dict[str, float]]]) -> Column:
-    """Of a unit of text, the score and name of the nearest template; ties go to the first name."""
-    table = _map(weights)
-    said = _terms(unit)
-    counted = F.transform(F.array_distinct(said), lambda t: F.struct(t.alias("t"), (F.size(F.filter(said, lambda x: x == t)) * F.coalesce(F.try_element_at(table, t), F.lit(rare))).alias("w")))
-    total = lambda of: F.aggregate(counted, F.lit(0.0), lambda acc, x: acc + of(x))
-    size = F.sqrt(total(lambda x: x["w"] * x["w"]))
-    scores = []
-    for name, vector in templates:
-        at = _map(vector)
-        dot = total(lambda x, at=at: x["w"] * F.coalesce(F.try_element_at(at, x["t"]), F.lit(0.0)))
-        scores.append(F.struct(F.when(size > 0, dot / size).otherwise(0.0).alias("score"), F.lit(name).alias("license")))
-    return F.array_max(F.array(*scores))
+def _best(said: Column, weighed: Column, anchors: Column, known: list[tuple[str, dict[str, float]]], sizes: list[int], least: float) -> Column:
+    """Of a text's terms, their weights and the places of licence words among them, the score and name of the nearest template; null below `least`.
+
+    A template meets the windows of terms that begin at one of its terms, hold a licence word and are up to as long as the template, or half as long
+    again; each ends with its last term of the template, so what stands around a notice does not count. Templates too few of whose terms the text has for
+    a cosine of `least` are left out, as no window of it can reach that. Licences go before "proprietary", then the score, the longer template and the last name."""
+    laws = [F.struct(F.lit(name).alias("license"), F.lit(size).alias("size"), F.lit(reach).alias("reach"), _map(v).alias("at")) for (name, v), size in zip(known, sizes) for reach in (size, size + size // 2 + 1)]
+    total = lambda items, of: F.aggregate(items, F.lit(0.0), lambda acc, x: acc + of(x))
+
+    def possible(law):
+        return total(F.map_values(F.map_filter(law["at"], lambda t, _: F.array_contains(F.col("lq_said_once"), t))), lambda x: x * x) >= least * least - 1e-9
+
+    def cosine(law, places):
+        dot = total(places, lambda k: F.element_at(weighed, k) * F.coalesce(F.try_element_at(law["at"], F.element_at(said, k)), F.lit(0.0)))
+        within = F.slice(said, F.element_at(places, 1), F.size(places))
+        square = total(places, lambda k: F.element_at(weighed, k) * F.element_at(weighed, k))
+        counted = total(places, lambda k: F.element_at(weighed, k) * F.element_at(weighed, k) * F.size(F.filter(within, lambda t: t == F.element_at(said, k))))
+        # no term counts less than once, so the plain sum bounds the cosine from above
+        return F.when(dot >= (least - 1e-9) * F.sqrt(square), F.least(F.lit(1.0), dot / F.sqrt(counted))).otherwise(0.0)
+
+    def nearest(law):
+        of_law = lambda k: F.map_contains_key(law["at"], F.element_at(said, k))
+        starts = F.array_distinct(F.flatten(F.transform(anchors, lambda a: F.sequence(F.greatest(F.lit(1), a - law["reach"] + 1), a))))
+        starts = F.filter(starts, of_law)
+        last = lambda p: F.array_max(F.filter(F.sequence(p, F.least(p + law["reach"] - 1, F.size(said))), of_law))
+        return F.array_max(F.transform(starts, lambda p: cosine(law, F.sequence(p, last(p)))))
+
+    scores = F.transform(F.filter(F.array(*laws), possible), lambda law: F.struct((law["license"] != "proprietary").alias("named"), nearest(law).alias("score"), law["size"].alias("size"), law["license"].alias("license")))
+    return F.array_max(F.filter(scores, lambda x: x["score"] >= least))
 
 
 def scan(files: DataFrame, path_column: str = "path", text_column: str = "text", least: float = 0.75, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """All rows and columns of files with license, license_score, license_basis and license_from.
 
-    Every line of a text that has a licence word is compared to all templates, as is the whole text of a file with a licence file's name; the nearest template of
-    cosine `least` or more names the licence ("notice" or "file"). A row without one takes that of the nearest directory at or above
+    The first SPDX identifier of a text names its licence as it is written, with score 1. Otherwise windows of words around every licence word, across lines and within long
+    ones, are compared to all templates; the nearest template of cosine `least` or more names the licence ("file" where the file has a licence file's name, else "notice"). A row without one takes that of the nearest directory at or above
     its own that holds a licence file ("inherited", license_from is the directory); several such files in one directory: the highest score, then the last name.
     All else, null texts and null paths among it, has null in these columns. Paths are parted by "/". Rows alike are scored alike. Columns of these names are
     replaced. An empty table gives an empty result."""
@@ -111,11 +139,21 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     name = F.element_at(F.split(path, "/"), -1)
     is_file = F.coalesce(name.rlike(FILE_NAME), F.lit(False))
     # texts without any licence word end here; the others are few
-    lines = F.when(text.rlike(ANCHOR), F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHOR))).otherwise(F.array().cast("array<string>"))
-    units = F.when(is_file, F.concat(lines, F.array(text))).otherwise(lines)
-    best = F.array_max(F.transform(F.col("lq_units"), lambda u: _best(u, weights, rare, known)))
-    scored = files.withColumns({"lq_units": units, "lq_file": is_file, "lq_dir": F.regexp_extract(path, "^(.*)/[^/]*$", 1)})
-    scored = scored.withColumn("lq_best", F.when(F.size("lq_units") > 0, best)).drop("lq_units")
+    said = F.when(text.rlike(ANCHOR), _terms(text))
+    scored = files.withColumns({"lq_said": said, "lq_spdx": F.regexp_extract(text, SPDX, 1), "lq_file": is_file, "lq_dir": F.regexp_extract(path, "^(.*)/[^/]*$", 1)})
+    places = F.filter(F.sequence(F.lit(1), F.size("lq_said")), lambda k: F.element_at("lq_said", k).rlike(ANCHOR_TERM))
+    some = F.size("lq_said") > 0
+    table = _map(weights)
+    scored = scored.withColumns({
+        "lq_said_once": F.when(some, F.array_intersect(F.col("lq_said"), F.array(*map(F.lit, vocabulary)))),
+        "lq_weighed": F.when(some, F.transform("lq_said", lambda t: F.coalesce(F.try_element_at(table, t), F.lit(rare)))),
+        "lq_anchors": F.when(some, places),
+    })
+    best = _best(F.col("lq_said"), F.col("lq_weighed"), F.col("lq_anchors"), known, [len(terms_of(x)) for _, x in templates], least)
+    by_id = F.struct(F.lit(1.0).alias("score"), F.col("lq_spdx").alias("license"))
+    near = F.when(F.size("lq_anchors") > 0, best)
+    scored = scored.withColumn("lq_near_law", near).withColumn("lq_best", F.when(F.col("lq_spdx") != "", by_id).otherwise(F.struct(F.col("lq_near_law.score").alias("score"), F.col("lq_near_law.license").alias("license"))))
+    scored = scored.drop("lq_said", "lq_said_once", "lq_weighed", "lq_anchors", "lq_spdx", "lq_near_law")
     own = F.coalesce(F.col("lq_best.score") >= least, F.lit(False))
     scored = scored.withColumn("lq_own", own)
     from_files = scored.where("lq_own and lq_file").groupBy("lq_dir").agg(F.max(F.struct("lq_best.score", "lq_best.license")).alias("lq_law")).select(F.col("lq_dir").alias("above"), "lq_law")

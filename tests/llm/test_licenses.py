@@ -33,3 +33,17 @@ def test_notices_files_and_inheritance(spark):
     score, name = brute([t for _, t in rows], "# Licensed under the Apache License, Version 2.0.")
     assert name == "Apache-2.0" and abs(got[rows[2]]["license_score"] - score) < 1e-9
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_headers_over_lines_within_lines_and_by_identifier(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    rows = [
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: Zlib", "Zlib"), ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0-only WITH Linux-syscall-note"),
+        ("// Licensed under the Apache\n// License, Version 2.0 by the makers of this fine program", "Apache-2.0"), ("lorem ipsum " * 80 + "this is released under the MIT License and so on " + "dolor sit " * 80, "MIT"),
+        ("Copyright (c) 2020 Some Body. All rights reserved.\n\n" + mit, "MIT"), ("Copyright (c) 2020 Some Body Ltd. All rights reserved.", "proprietary"),
+        ("This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.", "GPL-3.0"),
+        ("a driving licence is needed to drive a car on the road", None), ("the copyright of a song lasts long", None),
+    ]
+    df = spark.createDataFrame([(k, f"d/{k}.c", t) for k, (t, _) in enumerate(rows)], "id long, path string, text string")
+    got = {r["id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert got == {k: name for k, (_, name) in enumerate(rows)}
