@@ -10,7 +10,7 @@ from lodequarry.llm import shared
 
 #: Hash buckets by which the ranks of rows of one length are counted before any of them meet in one task.
 BUCKETS = 256
-#: Above this the last part of a budget is spent length by length; the exact fit covers the rest.
+#: Above this, or twice the longest spare length, the last part of a budget is spent length by length; the exact fit covers all of the rest.
 EXACT = 1 << 16
 
 
@@ -36,8 +36,8 @@ def targets(sizes: list[int], weights: list[int], share: float, most: float) ->
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many rows of each length to take so that their lengths sum to the budget, or come as near below it as these rows allow.
 
-    Each length gives the same share of its rows, rounded down; what is left of the budget is spent on the longest lengths until it
-    is small, and the rest by bounded-knapsack dynamic programming over what remains of each length."""
+    Each length gives the same share of its rows, rounded down; what is left of the budget is spent by one row a length, largest remainders first (ties by
+    a seeded number), until it is at most EXACT or twice the longest spare length, and the rest by bounded-knapsack dynamic programming over what remains of each length."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -46,17 +46,17 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     rest = budget - int((lengths * take).sum())
     order = np.argsort(-lengths)
     spare = counts - take
-    while rest > EXACT:
-        before = rest
-        for k in order[lengths[order] <= rest]:
-            n = min(int(spare[k]), max(0, rest - EXACT // 2) // int(lengths[k]), 1 + int(counts[k]) // 8)
-            if n > 0:
-                take[k] += n
-                spare[k] -= n
-                rest -= n * int(lengths[k])
-        if rest == before:
-            break
-    room = min(rest, EXACT)  # a single length over the room cannot help
+    bound = max(EXACT, 2 * int(lengths[spare > 0].max(initial=0)))
+    remainder = np.array([int(c) * budget % total / total for c in counts.tolist()])
+    turns = np.lexsort((np.random.default_rng(17).random(len(lengths)), -remainder))
+    while rest > bound:  # no length is over half the bound, so each fits
+        for k in turns[(spare[turns] > 0) & (lengths[turns] > 0)]:
+            if rest <= bound:
+                break
+            take[k] += 1
+            spare[k] -= 1
+            rest -= int(lengths[k])
+    room = rest
     # how[s]: number of rows of the last length used to reach sum s first; lengths are added one by one
     reached = np.zeros(room + 1, bool)
     reached[0] = True

@@ -58,3 +58,17 @@ def test_targets_are_met_where_lengths_allow(spark):
     df = spark.createDataFrame([(k, "w " * (k % 40 + 1), f"s{k % 3}") for k in range(900)], "doc_id long, text string, source string")
     got = mixing.mix(df).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in got)
+
+
+def test_fit_of_documents_longer_than_the_exact_part():
+    assert mixing.fit(np.array([70_000, 80_000]), np.array([1, 1]), 75_000).tolist() == [1, 0]
+    lengths, counts = np.array([90_000, 100_000, 110_003]), np.array([4, 4, 4])
+    for budget in (250_000, 600_000, 990_007):
+        left = budget - (lengths * (take := mixing.fit(lengths, counts, budget))).sum()
+        assert 0 <= left < lengths[take < counts].min()
+
+
+def test_fit_spreads_what_is_left_over_lengths():
+    lengths = np.arange(1000, 4000)
+    take = mixing.fit(lengths, np.ones(3000, int), int(lengths.sum() * 0.5))
+    assert (lengths * take).sum() == int(lengths.sum() * 0.5) and 0.4 < take[:1500].mean() < 0.6
