@@ -139,8 +139,10 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     name = F.element_at(F.split(path, "/"), -1)
     is_file = F.coalesce(name.rlike(FILE_NAME), F.lit(False))
     # texts without any licence word end here; the others are few
-    said = F.when(text.rlike(ANCHOR), _terms(text))
-    scored = files.withColumns({"lq_said": said, "lq_spdx": F.regexp_extract(text, SPDX, 1), "lq_file": is_file, "lq_dir": F.regexp_extract(path, "^(.*)/[^/]*$", 1)})
+    # an explode of one element keeps later filters from being pushed below, which would score again for every use
+    once = lambda c: F.explode(F.array(c))
+    said = once(F.when(text.rlike(ANCHOR), _terms(text)))
+    scored = files.withColumn("lq_said", said).withColumns({"lq_spdx": F.regexp_extract(text, SPDX, 1), "lq_file": is_file, "lq_dir": F.regexp_extract(path, "^(.*)/[^/]*$", 1)})
     places = F.filter(F.sequence(F.lit(1), F.size("lq_said")), lambda k: F.element_at("lq_said", k).rlike(ANCHOR_TERM))
     some = F.size("lq_said") > 0
     table = _map(weights)
@@ -150,10 +152,12 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
         "lq_anchors": F.when(some, places),
     })
     best = _best(F.col("lq_said"), F.col("lq_weighed"), F.col("lq_anchors"), known, [len(terms_of(x)) for _, x in templates], least)
+    some_terms = F.struct("lq_said_once", "lq_weighed", "lq_anchors")
+    scored = scored.withColumn("lq_terms", once(some_terms)).withColumns({c: F.col("lq_terms")[c] for c in ("lq_said_once", "lq_weighed", "lq_anchors")})
     by_id = F.struct(F.lit(1.0).alias("score"), F.col("lq_spdx").alias("license"))
     near = F.when(F.size("lq_anchors") > 0, best)
-    scored = scored.withColumn("lq_near_law", near).withColumn("lq_best", F.when(F.col("lq_spdx") != "", by_id).otherwise(F.struct(F.col("lq_near_law.score").alias("score"), F.col("lq_near_law.license").alias("license"))))
-    scored = scored.drop("lq_said", "lq_said_once", "lq_weighed", "lq_anchors", "lq_spdx", "lq_near_law")
+    scored = scored.withColumn("lq_near_law", once(near)).withColumn("lq_best", F.when(F.col("lq_spdx") != "", by_id).otherwise(F.struct(F.col("lq_near_law.score").alias("score"), F.col("lq_near_law.license").alias("license"))))
+    scored = scored.drop("lq_said", "lq_said_once", "lq_weighed", "lq_anchors", "lq_spdx", "lq_near_law", "lq_terms")
     own = F.coalesce(F.col("lq_best.score") >= least, F.lit(False))
     scored = scored.withColumn("lq_own", own)
     from_files = scored.where("lq_own and lq_file").groupBy("lq_dir").agg(F.max(F.struct("lq_best.score", "lq_best.license")).alias("lq_law")).select(F.col("lq_dir").alias("above"), "lq_law")
