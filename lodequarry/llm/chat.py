@@ -6,7 +6,8 @@ The grammar, over whole conversations:
                  | "[OUT] " text " </s>"                an assistant's; its text is under the loss mask
                  | "<<SYS " json ">> " text " <</SYS>>" any other role, named as a JSON string
 A text ends at the first closing mark of its kind that no backslash precedes. Within a text, 2k+1 backslashes before a control string stand for k backslashes
-and the string itself. Texts are first rendered as they are; a turn that does not come back as it was is escaped, and rendered again.
+and the string itself. Every control string of a text is escaped, also where this parser would survive it bare, so that no reader of the marks meets a turn that is none; a role's
+are written as JSON escapes. Each turn is parsed again and must come back as it was, each conversation too.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def render_turn(role: str, text: str) -> tuple[str, int]:
         return f"[INST] {text} [/INST]", 7
     if role == "assistant":
         return f"[OUT] {text} </s>", 6
-    head = f"<<SYS {json.dumps(role)}>> "
+    name = json.dumps(role).replace("<", "\\u003c").replace("[", "\\u005b")
+    head = f"<<SYS {name}>> "
     return f"{head}{text} <</SYS>>", len(head)
 
 
@@ -92,12 +94,12 @@ def _faithful(role: str, text: str, shown: str) -> bool:
 
 
 def faithful_turn(role: str, text: str) -> tuple[str, int, int]:
-    """A turn that parses back to role and text, escaped only if it must be; and the span of its text."""
-    for said in (text, escape(text)):
-        shown, begin = render_turn(role, said)
-        if _faithful(role, text, shown):
-            return shown, begin, begin + len(said)
-    raise RoundTripError(f"a turn of {role!r} cannot be rendered")
+    """A turn that parses back to role and text, its control strings escaped; and the span of its text."""
+    said = escape(text)
+    shown, begin = render_turn(role, said)
+    if not _faithful(role, text, shown):
+        raise RoundTripError(f"a turn of {role!r} cannot be rendered")
+    return shown, begin, begin + len(said)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
