@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from lodequarry.llm import shared
 
 #: Hash buckets by which the ranks of rows of one length are counted before any of them meet in one task.
 BUCKETS = 256
-#: Above this, or twice the longest spare length, the last part of a budget is spent length by length; the exact fit covers all of the rest.
+#: What is left of a budget is spent length by length until it is at most this, or twice the longest spare length; the exact fit covers all of the rest.
 EXACT = 1 << 16
 
 
@@ -33,19 +35,42 @@ def targets(sizes: list[int], weights: list[int], share: float, most: float) ->
     return out
 
 
+def subset(parts: list[tuple[int, int, int]], room: int) -> tuple[int, list[tuple[int, int]]]:
+    """The largest sum of parts (name, number, length of one) that is at most room, and the (name, number) of the parts used.
+
+    The sums reached are bits of one integer; what was reached before each part is kept, room / 8 bytes, until room itself is reached."""
+    bits, mask, before = 1, (1 << room + 1) - 1, []
+    for name, n, length in parts:
+        if bits >> room & 1:
+            break
+        before.append((bits, name, n, n * length))
+        bits |= (bits << n * length) & mask
+    best = at = bits.bit_length() - 1
+    used = []
+    for was, name, n, weight in reversed(before):
+        if not was >> at & 1:
+            used.append((name, n))
+            at -= weight
+    return best, used
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many rows of each length to take so that their lengths sum to the budget, or come as near below it as these rows allow.
+    """How many rows of each length to take so that their lengths sum to the budget, or come as near below it as any choice of rows can.
 
     Each length gives the same share of its rows, rounded down; what is left of the budget is spent by one row a length, largest remainders first (ties by
-    a seeded number), until it is at most EXACT or twice the longest spare length, and the rest by bounded-knapsack dynamic programming over what remains of each length."""
+    a seeded number), until it is at most EXACT or twice the longest spare length, and the rest by bounded-knapsack dynamic programming over what remains of each length.
+    Where that doesn't meet the budget (or the next multiple of the lengths' common divisor below it), every length gives back one of its rows, then 3, 7 and so on, to a
+    larger program, until the budget is met or all rows are in the program."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    rest = budget - int((lengths * take).sum())
-    order = np.argsort(-lengths)
-    spare = counts - take
+    some = np.flatnonzero((lengths > 0) & (counts > 0))
+    step = math.gcd(*lengths[some].tolist())
+    goal = budget // step * step
+    base = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    spare = counts - base
+    rest = budget - int((lengths * base).sum())
     bound = max(EXACT, 2 * int(lengths[spare > 0].max(initial=0)))
     remainder = np.array([int(c) * budget % total / total for c in counts.tolist()])
     turns = np.lexsort((np.random.default_rng(17).random(len(lengths)), -remainder))
@@ -53,38 +78,28 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         for k in turns[(spare[turns] > 0) & (lengths[turns] > 0)]:
             if rest <= bound:
                 break
-            take[k] += 1
+            base[k] += 1
             spare[k] -= 1
             rest -= int(lengths[k])
-    room = rest
-    # how[s]: number of rows of the last length used to reach sum s first; lengths are added one by one
-    reached = np.zeros(room + 1, bool)
-    reached[0] = True
-    by, with_ = np.full(room + 1, -1, np.int32), np.zeros(room + 1, np.int32)
-    for k in order[(lengths[order] <= room) & (lengths[order] > 0) & (spare[order] > 0)]:
-        if reached[room]:
-            break
-        size, most = int(lengths[k]), min(int(spare[k]), room // int(lengths[k]))
-        done, power = 0, 1
-        old = reached.copy()
-        while done < most:  # binary parts of the count
-            n = min(power, most - done)
-            done, power = done + n, power * 2
-            shift = n * size
-            if shift > room:
-                break
-            new = np.flatnonzero(reached[:-shift] & ~reached[shift:]) + shift
-            with_[new] = n + np.where(old[new - shift], 0, with_[new - shift])
-            by[new] = k
-            reached[new] = True
-    at = int(np.flatnonzero(reached)[-1])
-    while at:
-        k, n = int(by[at]), int(with_[at])
-        take[k] += n
-        at -= n * int(lengths[k])
-    return take
-
-
+    order = some[np.argsort(-lengths[some])].tolist()
+    give = 0
+    while True:
+        back = np.minimum(base, give)
+        back[lengths == 0] = 0
+        take, room = base - back, goal - int((lengths * (base - back)).sum())
+        parts = []
+        for k in order:
+            left, power = min(int(spare[k] + back[k]), room // int(lengths[k])), 1
+            while left > 0:  # binary parts of the count
+                n = min(power, left)
+                parts.append((k, n, int(lengths[k])))
+                left, power = left - n, 2 * power
+        best, used = subset(parts, room)
+        if best == room or (back[some] == base[some]).all():
+            for k, n in used:
+                take[k] += n
+            return take
+        give = 2 * give + 1
 
 
 def _fit_source(pdf):
@@ -105,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     turn; targets sum to `share` of all sizes, none above `most` times its source's size. A source's documents are all taken as often as the target
     covers; of the rest, counts of exact lengths are fitted to the remaining budget and that many documents of each length taken
     once more, in the order of a seeded hash of id and text; rows alike in both are alike in rank up to their place, which changes nothing in the
-    result as a multiset. Words taken miss the target by less than the shortest spare document, mostly by none. Columns of docs of these names
+    result as a multiset. No choice of rows comes nearer to the (rounded) target from below; mostly it is met. Columns of docs of these names
     are replaced. An empty table gives an empty result. The driver holds a row per source; a task a row per length of a source.
     """
     spark = docs.sparkSession

@@ -22,6 +22,22 @@ def test_fit_takes_what_there_is_and_never_too_much(have, share):
     assert all(take[k] == counts[k] or lengths[k] > left for k in range(len(lengths)))
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.dictionaries(st.sampled_from([0, 1, 2, 3, 4, 6, 10, 15, 100, 1000, 70_000, 70_001]), st.integers(1, 5), min_size=1, max_size=6), st.floats(0, 1))
+def test_fit_is_the_best_subset_sum(have, share):
+    lengths, counts = np.array(sorted(have)), np.array([have[k] for k in sorted(have)])
+    budget = int((lengths * counts).sum() * share)
+    take, sums = mixing.fit(lengths, counts, budget), {0}
+    for n, c in have.items():
+        sums = {s + n * k for s in sums for k in range(c + 1)}
+    assert (take >= 0).all() and (take <= counts).all() and (lengths * take).sum() == max(s for s in sums if s <= budget)
+
+
+def test_fit_takes_long_documents_too():
+    total = lambda n, c, budget: int((np.array(n) * mixing.fit(np.array(n), np.array(c), budget)).sum())
+    assert total([3, 70_000], [5, 4], 70_000) == 70_000 and total([3, 70_000], [5, 4], 140_000) == 140_000 and total([70_000, 80_000], [1, 1], 75_000) == 70_000
+
+
 def test_fit_meets_large_budgets():
     lengths = np.arange(1, 3000)
     counts = np.full(2999, 7)
