@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,8 @@ from lodequarry.llm import shared, tokens
 
 #: (times, lengths from the largest): so many sequences are filled alike.
 Pattern = tuple[int, tuple[int, ...]]
+#: Rows of the table of first ranks (partitions x lengths) up to which it is broadcast; a larger one is joined by an exchange.
+SMALL = 1 << 15
 
 
 def best_fit(counts: np.ndarray, room: int) -> list[Pattern]:
@@ -44,116 +48,169 @@ def best_fit(counts: np.ndarray, room: int) -> list[Pattern]:
     return [(n, fill) for at in groups.values() for fill, n in at.items()]
 
 
-def lower_bound(counts: np.ndarray, room: int) -> int:
-    """No packing has fewer sequences: the sum of lengths, or what cannot share a sequence (Martello and Toth's L2)."""
+def _l2(counts: np.ndarray, room: int) -> int:
+    """No packing has fewer sequences: the sum of lengths, or what cannot share a sequence (Martello and Toth's L2), for all thresholds at once."""
     size = np.arange(len(counts))
-    n, volume = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * size)[::-1])[::-1]
-    n, volume = np.append(n, 0), np.append(volume, 0)
-    best = -(-int(volume[0]) // room)
-    half = room // 2 + 1
-    for k in range(0, half):  # lengths of at least k; over room-k: alone; over half the room: one each
-        top = min(max(room - k + 1, half), len(counts))
-        alone, large = int(n[top]), int(n[min(half, len(counts))])
-        free = (large - alone) * room - int(volume[min(half, len(counts))] - volume[top])
-        small = int(volume[k] - volume[min(half, len(counts))])
-        best = max(best, large + max(0, -(-(small - free) // room)))
+    n, volume = np.append(np.cumsum(counts[::-1])[::-1], 0), np.append(np.cumsum((counts * size)[::-1])[::-1], 0)
+    half = min(room // 2 + 1, len(counts))
+    k = np.arange(half)  # lengths of at least k; over room-k: alone; over half the room: one each
+    top = np.minimum(np.maximum(room - k + 1, half), len(counts))
+    free = (n[half] - n[top]) * room - (volume[half] - volume[top])
+    extra = np.maximum(0, -((free - (volume[k] - volume[half])) // room))
+    return max(-(-int(volume[0]) // room), int((n[half] + extra).max(initial=0)))
+
+
+def lower_bound(counts: np.ndarray, room: int) -> int:
+    """No packing has fewer sequences: L2 of what is left after forced choices (Martello and Toth's L3).
+
+    The largest piece goes with the piece that fills its sequence, or alone where nothing fits, or with the largest that fits where no two do: no choice is better. Where no
+    such choice is left, the smallest length is given up, which cannot raise the number, and the rest is looked at again."""
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    sizes = np.flatnonzero(left).tolist()
+    done, best = 0, 0
+    while sizes:
+        moved, at = False, len(sizes) - 1
+        while at >= 0:
+            top = sizes[at]
+            if not left[top]:
+                sizes.pop(at)
+                at = min(at, len(sizes)) - 1
+                continue
+            gap = room - top
+            fits = bisect_right(sizes, gap) - 1
+            while fits >= 0 and not left[sizes[fits]] - (sizes[fits] == top):
+                fits -= 1
+            if fits < 0:  # alone
+                done, left[top], moved = done + int(left[top]), 0, True
+                continue
+            mate = sizes[fits]
+            small = next(s for s in sizes if left[s] - (s == top))
+            if mate == gap or 2 * small > gap:
+                n = int(left[top]) // 2 if mate == top else min(int(left[top]), int(left[mate]))
+                if n:
+                    left[top] -= n
+                    left[mate] -= n
+                    done, moved = done + n, True
+                    continue
+            at -= 1
+        best = max(best, done + _l2(left, room))
+        if not moved or not sizes:
+            if not sizes:
+                break
+            left[sizes.pop(0)] = 0
     return best
 
 
-def fillings(counts: np.ndarray, gap: int, width: int) -> Iterator[tuple[int, ...]]:
-    """Undominated ways to fill a gap from what is left, the fullest and among them those of fewest and largest pieces first.
-
-    One piece as long as the gap dominates every other filling; a filling to which another piece would fit is dominated too."""
-    have = np.flatnonzero(counts[: gap + 1] > 0)
-    have = have[have > 0][::-1]
-    if not len(have):
-        yield ()
-        return
-    if have[0] == gap:
-        yield (gap,)
-        return
-    given = 0
-    two = have[have * 2 >= gap] if len(have) else have
-    mate = gap - two
-    ok = (counts[mate] > (two == mate)) & (mate > 0)
-    for a in two[ok][:width]:
-        yield (int(a), int(gap - a))
-        given += 1
-    if given >= width:
-        return
-    for a in have[: 4 * width]:  # three pieces that fill it
-        rest = gap - int(a)
-        b = have[(have <= a) & (have * 2 >= rest) & (have < rest)]
-        c = rest - b
-        need = 1 + (b == c) + (c == a)
-        ok = (counts[c] >= need) & (counts[b] >= 1 + (b == a))
-        for x in b[ok][:1]:
-            yield (int(a), int(x), int(rest - x))
-            given += 1
-        if given >= width:
+def fillings(counts: np.ndarray, gap: int, waste: Callable[[], int], budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill a gap from what is left, lazily: all of them, as long as the budget of steps lasts.
+
+    A piece as long as what is still open dominates every other way to go on. A filling is dominated if a piece not in it would fit
+    too, or could stand for one or two of its pieces without leaving more open. Fillings that leave more open than waste() are no use; so are prefixes
+    that even all smaller pieces cannot bring so far. Pieces are tried from the longest on, the most of a length first, so the first are the fullest or nearly so."""
+    sizes = np.flatnonzero(counts[: gap + 1]).tolist()
+    sizes = sizes[1:] if sizes and sizes[0] == 0 else sizes
+    have = {s: int(counts[s]) for s in sizes}
+    volume = [0]
+    for s in sizes:
+        volume.append(volume[-1] + s * have[s])
+
+    def spare(fill: tuple[int, ...], low: int, high: int) -> bool:
+        """Whether a piece of low to high is not in the filling."""
+        return any(have[s] > fill.count(s) for s in sizes[bisect_left(sizes, low) : bisect_right(sizes, high)])
+
+    def dominated(fill: tuple[int, ...], open_: int) -> bool:
+        each = sorted(set(fill))
+        for i, a in enumerate(each):
+            if spare(fill, a + 1, a + open_):
+                return True
+            for b in each[i:]:
+                if (b > a or fill.count(a) > 1) and spare(fill, a + b, a + b + open_):
+                    return True
+        return False
+
+    def go(open_: int, upper: int, fill: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        budget[0] -= 1
+        if budget[0] < 0:
+            return
+        if not open_ or (open_ <= upper and open_ in have):
+            fill = (*fill, open_) if open_ else fill
+            if not dominated(fill, 0):
+                yield fill
             return
-    fill, rest, left = [], gap, counts.copy()  # the longest that still fits, again and again
-    while rest > 0:
-        fit = np.flatnonzero(left[1 : rest + 1])
-        if not len(fit):
-            break
-        x = int(fit[-1]) + 1
-        fill.append(x)
-        left[x] -= 1
-        rest -= x
-    yield tuple(fill)
-    best, short = None, rest  # the closest pair
-    for a in have[: 8 * width]:
-        near = have[(have <= gap - a) & (counts[have] > (have == a))]
-        if len(near) and gap - int(a) - int(near[0]) < short:
-            short, best = gap - int(a) - int(near[0]), (int(a), int(near[0]))
-    if best:
-        yield best
-
-
-def complete(counts: np.ndarray, room: int, nodes: int = 20_000, width: int = 3) -> list[Pattern]:
-    """Patterns that use every piece once. Best fit is the first incumbent; a depth-first search over fillings around
-    the largest piece left prunes where the room wasted so far already costs as many sequences as the incumbent, and ends
-    when the lower bound is met or after `nodes` fillings. A filling is used as often as the counts allow."""
+        for k in range(bisect_right(sizes, min(open_, upper)) - 1, -1, -1):
+            if open_ - volume[k + 1] > waste():
+                return
+            a = sizes[k]
+            for n in range(min(have[a], open_ // a), 0, -1):
+                yield from go(open_ - n * a, a - 1, (*fill, *(a,) * n))
+        if open_ <= waste() and not spare(fill, 1, open_) and not dominated(fill, open_):
+            yield fill
+
+    return go(gap, gap, ())
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Patterns that use every piece once, how many sequences no packing can go below, and whether the search came to its end."""
+
+    patterns: list[Pattern]
+    least: int
+    ended: bool
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for n, _ in self.patterns)
+
+    @property
+    def gap(self) -> int:
+        """Sequences above the lower bound; none if the search ended, as the packing is then shown to be the best."""
+        return 0 if self.ended else self.sequences - self.least
+
+
+def complete(counts: np.ndarray, room: int, steps: int = 200_000) -> Packing:
+    """Bin completion: best fit is the first incumbent; a depth-first search over all undominated fillings around the largest piece left prunes
+    where the room wasted so far already costs as many sequences as the incumbent, and ends when the lower bound is met, when nothing is left to try, or after
+    `steps` pieces tried (the gap then tells what is open). A filling is used as often as the counts allow first, then once, which with what follows covers every number of uses."""
+    counts = counts.astype(np.int64)
     best = best_fit(counts, room)
     most, least = sum(n for n, _ in best), lower_bound(counts, room)
-    volume = int((counts * np.arange(len(counts))).sum())
+    volume, budget = int((counts * np.arange(len(counts))).sum()), [steps]
 
-    def choices(left: np.ndarray, top: int) -> list[tuple[int, ...]]:
+    def children(left: np.ndarray, waste: int):
+        top = int(np.flatnonzero(left)[-1])
         less = left.copy()
         less[top] -= 1
-        seen = dict.fromkeys(fillings(less, room - top, width))
-        return sorted(seen, key=lambda f: (room - top - sum(f), len(f)))[:width][::-1]
-
-    def largest(left: np.ndarray) -> int:
-        some = np.flatnonzero(left)
-        return int(some[-1]) if len(some) else 0
-
-    start = counts.astype(np.int64)
-    stack = [(start, [], 0, 0, None)]
-    while stack and most > least and nodes > 0:
-        left, path, used, waste, fill = stack.pop()
-        if fill is not None:
-            nodes -= 1
-            top = largest(left)
-            sizes, need = np.unique((top, *fill), return_counts=True)
-            times = int((left[sizes] // need).min())
-            left = left.copy()
-            left[sizes] -= times * need
-            used += times
-            waste += times * (room - top - sum(fill))
-            path = (path, (times, (top, *fill)))
+        for once in (False, True):
+            for fill in fillings(less, room - top, lambda: (most - 1) * room - volume - waste, budget):
+                sizes, need = np.unique((top, *fill), return_counts=True)
+                times = int((left[sizes] // need).min())
+                if once and times == 1:
+                    continue
+                times = 1 if once else times
+                rest = left.copy()
+                rest[sizes] -= times * need
+                yield rest, times, (top, *fill)
+
+    stack = [(children(counts, 0), None, 0, 0)] if counts[1:].any() else []
+    while stack and most > least and budget[0] > 0:
+        nodes, path, used, waste = stack[-1]
+        step = next(nodes, None)
+        if step is None:
+            stack.pop()
+            continue
+        left, times, fill = step
+        used, waste, path = used + times, waste + times * (room - sum(fill)), (path, (times, fill))
         if used >= most or -(-(volume + waste) // room) >= most:
             continue
-        top = largest(left)
-        if not top:
-            most, best = used, []
-            while path:
-                path, step = path
-                best.append(step)
+        if left.any():
+            stack.append((children(left, waste), path, used, waste))
             continue
-        stack.extend((left, path, used, waste, f) for f in choices(left, top))
-    return best
+        most, best = used, []
+        while path:
+            path, step = path
+            best.append(step)
+    return Packing(best, least, most <= least or budget[0] > 0)
 
 
 def places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
@@ -237,13 +294,14 @@ def _place(slots: dict[int, np.ndarray], names: list[str]):
     return run
 
 
-def pack(docs: DataFrame, room: int = 2048, vocabulary: str | None = None, end: int = 0, id_column: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, room: int = 2048, vocabulary: str | None = None, end: int = 0, id_column: str = "doc_id", with_ids: bool = False, steps: int = 200_000, report: dict | None = None) -> DataFrame:
     """Pack documents (a text column) into sequences of at most `room` token ids.
 
     A row per piece: id column, piece, start, length, ids_crc32, sequence_id, offset and, with with_ids, the ids. Only
     documents longer than the room are cut. A null or empty text is the end id alone. Rows with the same or a null id are packed each on
     its own; other columns are left aside. An empty table gives no rows. The driver sees only how many pieces each length has
-    (at most `room` rows); pieces find their place by their rank among those of their length, without one task holding a length.
+    (at most `room` rows); pieces find their place by their rank among those of their length, without one task holding a length. `steps` bounds the search (see complete);
+    report, if given, gets sequences, least (what no packing goes below) and gap (how many sequences might be saved; 0: none).
     """
     kind = docs.schema[id_column].dataType.simpleString()
     names = [id_column, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -255,8 +313,12 @@ def pack(docs: DataFrame, room: int = 2048, vocabulary: str | None = None, end:
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         by_length[r["length"]] = r["n"]
     full, by_length[room] = int(by_length[room]), 0
-    slots = places([*complete(by_length, room), *[(full, (room,))] * (full > 0)])
+    found = complete(by_length, room, steps)
+    if report is not None:
+        report.update(sequences=found.sequences + full, least=found.least + full, gap=found.gap)
+    slots = places([*found.patterns, *[(full, (room,))] * (full > 0)])
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.select(*names).schema) + ", sequence_id long, offset long"
+    base = F.broadcast(base) if counts.count() <= SMALL else base.hint("merge")
     return made.join(base, ["part", "length"]).mapInArrow(_place(slots, names), out)
