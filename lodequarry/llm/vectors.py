@@ -1,9 +1,10 @@
 """Near-duplicate vectors: a robust-pruned flat graph over overlapping shards, searched greedily from medoids and then by range.
 
-Equal vectors of a label are one node with a multiplicity. Labels with too many nodes are split by centres that lie apart, each node going to its nearest
-centres; the nearest is its home. Every shard builds a graph; a node's adjacency lists are united; each node is then searched for in its home
-shard. Links are counted where both ends have the same home, and written down only where they cross. The result is audited against brute force
-by size of group; where no try passes the audit, all nodes of a label are compared.
+Equal vectors of a label are one node with a multiplicity; vectors of different lengths never meet. Labels with too many nodes are split by centres that lie apart, each node going to its nearest
+centres; the nearest is its home. Every shard builds a graph; the adjacency lists of a node from all its shards are united, and where an edge near the range leaves a shard, its end
+is taken along with its own list, so that the search of a shard's home nodes walks the united graph beyond the shard. Groups that lie together and are too large
+for one task are compared in blocks instead. Links are counted where both ends have the same home, and written down only where they cross. The result is audited against
+brute force by size of group; where no try passes the audit, all nodes of a label are compared in blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ CAP = 4096  # nodes of a shard that is not split further
 FAN = 128  # centres that a split makes at most
 SAMPLE = 2048  # nodes that centres are chosen from
 LONG = 8  # slots of a node that are kept for random edges, a quarter of all at most
-BLOCK = 2048  # nodes of a block of the exact comparison
+BLOCK = 1024  # nodes of a block of the exact comparison
+MARGIN = 0.1  # edges whose cosine is at most so much below the range are followed out of a shard
 
 
 def nodes_of(vectors: DataFrame, id_column: str, vector_column: str, label_column: str) -> tuple[DataFrame, DataFrame]:
@@ -29,7 +31,7 @@ def nodes_of(vectors: DataFrame, id_column: str, vector_column: str, label_colum
     for seed in range(8):
         h = lambda s: F.xxhash64(F.lit(s), F.col(label_column).cast("string"), v)
         ok = F.coalesce(fine, F.lit(False))
-        rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(label_column).cast("string").alias("label"), v.alias("vector"), F.when(ok, h(seed)).alias("node"), F.when(ok, h(seed + 100)).alias("check"))
+        rows = vectors.select(F.col(id_column).alias("vec_id"), F.concat_ws("/", F.size(v), F.col(label_column).cast("string")).alias("label"), v.alias("vector"), F.when(ok, h(seed)).alias("node"), F.when(ok, h(seed + 100)).alias("check"))
         nodes = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.min("check").alias("x"), F.max("check").alias("y"))
         nodes = shared.staged(nodes, "vector-nodes")
         if nodes.where("x != y").isEmpty():
@@ -85,7 +87,7 @@ def _assign(overlap: int):
 
 
 def shards(nodes: DataFrame, overlap: int, depth: int = 4) -> DataFrame:
-    """node, shard, home: every node once or more, once at home. Shards over CAP nodes are split up to `depth` times, unless all their nodes lie close together."""
+    """node, shard, home, whole: every node once or more, once at home. Shards over CAP nodes are split up to `depth` times; whole tells those still over it, as all their nodes lie close together."""
     members = nodes.select("node", F.col("label").alias("shard"), F.lit(True).alias("home"))
     done = None
     for _ in range(depth):
@@ -105,7 +107,9 @@ def shards(nodes: DataFrame, overlap: int, depth: int = 4) -> DataFrame:
         keys = lambda df, *c: df.select("shard", "salt", *c).groupBy("shard", "salt")
         members = keys(salted, "node", "home", "vector").cogroup(keys(by_salt, "centres", "n")).applyInPandas(_assign(overlap), "node long, shard string, home boolean")
         members = shared.staged(members, "shard-members")
-    return members if done is None else shared.staged(done.union(members), "shard-members")
+    members = members if done is None else done.union(members)
+    whole = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > CAP).select("shard", F.lit(True).alias("whole"))
+    return shared.staged(members.join(F.broadcast(whole), "shard", "left").select("node", "shard", "home", F.coalesce("whole", F.lit(False)).alias("whole")), "shard-members")
 
 
 def neighbours(unit: np.ndarray, degree: int, width: int, alpha: float, seed: int) -> np.ndarray:
@@ -151,9 +155,11 @@ def _build(degree: int, width: int, alpha: float):
     def run(pdf):
         pdf = pdf.sort_values("node")
         node = pdf["node"].to_numpy()
-        edges = neighbours(_unit(pdf["vector"]), degree, width, alpha, len(node))
+        unit = _unit(pdf["vector"])
+        edges = neighbours(unit, degree, width, alpha, len(node))
         a, k = np.nonzero(edges >= 0)
-        return pd.DataFrame({"node": node[a], "to": node[edges[a, k]]})
+        b = edges[a, k]
+        return pd.DataFrame({"node": node[a], "to": node[b], "s": np.einsum("ij,ij->i", unit[a], unit[b])})
 
     return run
 
@@ -271,24 +277,29 @@ def link(nodes: DataFrame, least: float, degree: int = 32, width: int = 64, alph
     """node, to, links: a row per node with the links to nodes of the same home and the smallest of its home that they reach, and a row for each link across homes (links -1)."""
     members = shards(nodes, overlap)
     vectors = nodes.select("node", "vector", "copies")
-    with_vector = members.join(vectors, "node")
-    edges = with_vector.groupBy("shard").applyInPandas(_build(degree, width, alpha), "node long, to long")
+    some = members.where("not whole").select("shard", "node", "home")
+    edges = some.join(vectors, "node").groupBy("shard").applyInPandas(_build(degree, width, alpha), "node long, to long, s double")
+    edges = shared.staged(edges, "vector-edges")
     united = edges.groupBy("node").agg(F.collect_set("to").alias("to"))
-    ready = with_vector.join(united, "node", "left").select("shard", "node", "home", "vector", "copies", "to")
-    return shared.staged(ready.groupBy("shard").applyInPandas(_searcher(least, beam), "node long, to long, links long"), "vector-links")
+    beyond = some.join(edges.where(F.col("s") >= least - MARGIN), "node").select("shard", F.col("to").alias("node")).distinct()
+    beyond = beyond.join(some, ["shard", "node"], "left_anti").select("shard", "node", F.lit(False).alias("home"))
+    ready = some.union(beyond).join(vectors, "node").join(united, "node", "left").select("shard", "node", "home", "vector", "copies", "to")
+    found = ready.groupBy("shard").applyInPandas(_searcher(least, beam), "node long, to long, links long")
+    return shared.staged(found.union(_compared(members.where("whole"), vectors, least)), "vector-links")
 
 
 def _auditor(told, least: float):
     import pyarrow as pa
 
     def run(batches):
-        label, node, unit = told.value
         for batch in batches:
             pdf = batch.to_pandas()
-            if len(pdf):
-                s = _unit(pdf["vector"]) @ unit.T
-                k, q = np.nonzero((s >= least) & (pdf["label"].to_numpy()[:, None] == label[None, :]) & (pdf["node"].to_numpy()[:, None] != node[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(node[q]), pa.array(pdf["copies"].to_numpy()[k])], ["node", "n"])
+            for label, part in pdf.groupby("label"):
+                if label in told.value:
+                    node, unit = told.value[label]
+                    s = _unit(part["vector"]) @ unit.T
+                    k, q = np.nonzero((s >= least) & (part["node"].to_numpy()[:, None] != node[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[q]), pa.array(part["copies"].to_numpy()[k])], ["node", "n"])
 
     return run
 
@@ -307,22 +318,32 @@ def _blocks(least: float):
 
     def run(pdf):
         pdf = pdf.sort_values("node")
-        node, copies, unit = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), _unit(pdf["vector"])
+        node, copies, home, unit = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["home"].to_numpy(), _unit(pdf["vector"])
         part, a, b = pdf["part"].to_numpy(), pdf["a"].iloc[0], pdf["b"].iloc[0]
         met = unit @ unit.T >= least
         met &= part[:, None] != part[None, :] if a != b else ~np.eye(len(node), dtype=bool)
-        return pd.DataFrame({"node": node, "to": node[_forest(met)], "links": met @ copies}).astype({"node": "int64", "to": "int64", "links": "int64"})
+        inner = met[np.ix_(home, home)]
+        own = pd.DataFrame({"node": node[home], "to": node[home][_forest(inner)], "links": inner @ copies[home]})
+        r, c = np.nonzero(met & home[:, None] & ~home[None, :])
+        cross = pd.DataFrame({"node": node[r], "to": node[c], "links": np.full(len(r), -1)})
+        return pd.concat([own, cross], ignore_index=True).astype({"node": "int64", "to": "int64", "links": "int64"})
 
     return run
 
 
+def _compared(members: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """node, to, links as of `link`, from all pairs of a shard, in blocks: a row per home node and pair of blocks, with the links in it and the smallest node of it that they reach. A task holds two blocks."""
+    parts = members.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = members.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
+    dealt = dealt.join(vectors, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = dealt.select("shard", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "home", "vector", "copies")
+    return pairs.groupBy("shard", "a", "b").applyInPandas(_blocks(least), "node long, to long, links long")
+
+
 def exact(nodes: DataFrame, least: float) -> DataFrame:
-    """node, to, links as of `link`, from all pairs of a label: a row per node and pair of blocks, with the links in it and the smallest node of it that they reach. Quadratic in a label."""
-    parts = nodes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = nodes.join(parts, "label").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = dealt.select("label", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "vector", "copies")
-    return shared.staged(pairs.groupBy("label", "a", "b").applyInPandas(_blocks(least), "node long, to long, links long"), "vector-pairs")
+    """node, to, links as of `link`, from all pairs of a label. Quadratic in a label."""
+    members = nodes.select("node", F.col("label").alias("shard"), F.lit(True).alias("home"))
+    return shared.staged(_compared(members, nodes.select("node", "vector", "copies"), least), "vector-pairs")
 
 
 def recall(found: DataFrame, nodes: DataFrame, least: float, queries: int = 800) -> float:
@@ -342,7 +363,7 @@ def recall(found: DataFrame, nodes: DataFrame, least: float, queries: int = 800)
     some = links.where(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 30)) < rate * float(1 << 30)).join(nodes, "node").select("node", "label", "vector", "links", "found_class").toPandas()
     if not len(some):
         return 1.0
-    told = spark.sparkContext.broadcast((some["label"].to_numpy(), some["node"].to_numpy(), _unit(some["vector"])))
+    told = spark.sparkContext.broadcast({label: (part["node"].to_numpy(), _unit(part["vector"])) for label, part in some.groupby("label")})
     true = nodes.select("node", "label", "vector", "copies").mapInArrow(_auditor(told, least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toPandas()
     taken = some.groupby("found_class").size().to_dict()
     some = some.merge(true, on="node")  # nodes without any link have nothing to find
@@ -355,19 +376,25 @@ def recall(found: DataFrame, nodes: DataFrame, least: float, queries: int = 800)
     return float(min(np.average((got / n)[group == g], weights=stands[group == g]) for g in np.unique(group)))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, wanted: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, wanted: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", report: dict | None = None) -> DataFrame:
     """A row per row of vectors: vec_id, n_links, component_id (smallest id reachable by links) and kept (vec_id = component_id).
 
     Two vectors of one label that is not null link if the cosine, in double precision, is at least `least`. Vectors that are null, empty, zero or hold
     null or non-finite components have no links and are components of their own. Equal vectors link with one another. Links are those that the graph search finds; if an
     audit against brute force finds fewer than `wanted` of them for groups of any size, beam, degree and overlap are doubled, twice at most; then all pairs are compared. Rows with one id are
-    vectors each of their own. A null id is smaller than none. Vectors of one label have one length. Other columns are left aside; an empty table gives no rows."""
+    vectors each of their own. A null id is smaller than none. Vectors of different lengths have no cosine and do not link, whatever their label. report, if given, gets the recall that the audit
+    measured, by try, and whether all pairs were compared after that. Other columns are left aside; an empty table gives no rows."""
     rows, nodes = nodes_of(vectors, id_column, vector_column, label_column)
     for wide in (1, 2, 4):
         found = link(nodes, least, degree=32 * wide, width=64 * wide, beam=48 * wide, overlap=1 + wide)
-        if recall(found, nodes, least) >= wanted:
+        got = recall(found, nodes, least)
+        if report is not None:
+            report.setdefault("recall", []).append(got)
+        if got >= wanted:
             break
     else:
+        if report is not None:
+            report["exact"] = True
         found = exact(nodes, least)
     joined = shared.staged(components(found.where("node != to"), "node", "to"), "vector-components")
     by_node = nodes.join(joined, "node", "left").select("node", "copies", "first", F.coalesce("component", "node").alias("component"))

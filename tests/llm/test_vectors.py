@@ -17,7 +17,7 @@ def brute(rows, least=0.93):
     unit = [np.array(np.float32(r[1]), float) / np.linalg.norm(np.array(np.float32(r[1]), float)) if o else None for r, o in zip(rows, ok)]
     for a in range(n):
         for b in range(a):
-            if ok[a] and ok[b] and rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= least:
+            if ok[a] and ok[b] and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least:
                 links[a, b] = links[b, a] = True
     label = list(range(n))
     changed = True
@@ -36,7 +36,7 @@ def test_against_brute_force_with_odd_rows(spark):
     v = np.concatenate([rng.normal(size=(120, 16)), cluster(rng, 25, 0.12), cluster(rng, 10, 0.05)])
     rows = [(k, [float(x) for x in x_], k % 2, "clash") for k, x_ in enumerate(v)]
     rows += [(1000 + k, [1.0] * 16, 5, "clash") for k in range(6)]
-    rows += [(2000, None, 1, "c"), (2001, [0.0] * 16, 1, "c"), (2002, [float("nan")] * 16, 1, "c"), (2003, [None] * 16, 1, "c"), (2004, [1.0] * 16, None, "c"), (2005, [], 1, "c"), (2006, [float("inf")] * 16, 5, "c")]
+    rows += [(2000, None, 1, "c"), (2001, [0.0] * 16, 1, "c"), (2002, [float("nan")] * 16, 1, "c"), (2003, [None] * 16, 1, "c"), (2004, [1.0] * 16, None, "c"), (2005, [], 1, "c"), (2006, [float("inf")] * 16, 5, "c"), (2007, [1.0] * 3, 5, "c"), (2008, [2.0] * 3, 5, "c"), (2009, [1.0] * 5, 5, "c")]
     n, label = brute(rows)
     got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     found = sum(min(got[r[0]]["n_links"], n[k]) for k, r in enumerate(rows))
@@ -86,6 +86,17 @@ def test_links_outside_a_hot_group_are_found():
     assert not (found & ~true).any() and (found & true)[500:].sum() >= 0.98 * true[500:].sum() and found[:500].sum() >= 0.98 * true[:500].sum()
 
 
+def test_a_large_group_that_lies_together_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CAP", 100)
+    monkeypatch.setattr(vectors, "BLOCK", 60)
+    rows = hot_and_small()
+    n, label = brute(rows)
+    report = {}
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), report=report).collect()}
+    assert min(report["recall"]) > 0.5 and sum(got[k]["n_links"] for k in range(len(rows))) >= 0.98 * n.sum()
+    assert all(got[k]["n_links"] <= n[k] for k in range(len(rows))) and sum(got[k]["component_id"] == label[k] for k in range(len(rows))) >= 0.98 * len(rows)
+
+
 def test_audit_sees_small_groups_and_all_pairs_follow(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 300)
     rows = hot_and_small()
