@@ -16,9 +16,11 @@ WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster that is an error, as executors would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lodequarry-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
