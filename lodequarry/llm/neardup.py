@@ -158,6 +158,7 @@ def _verifier(words: int, least: float):
 
 SLOTS = 1 << 20  # counters of how often tokens occur; they only order tokens, so sharing one costs time, not links
 _CHUNK = 1 << 12
+HEAD = 32  # tokens before its own that a prefix token carries, by which a pair is made at its first common token only
 
 
 def tokens_of(texts, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,13 +205,21 @@ def _prefixer(words: int, least: float, told):
                 reach = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
                 use = (place < reach[doc]) & (seen > 1)
                 node = batch.column(batch.schema.get_field_index("node")).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[doc[use]]), pa.array(token[use].view(np.int64)), pa.array(place[use])], ["node", "token", "place"])
+                doc, token, place = doc[use], token[use].view(np.int64), place[use]
+                many = np.bincount(doc, minlength=len(n))
+                first = (np.cumsum(many) - many)[doc]
+                size = np.minimum(np.arange(len(doc)) - first, HEAD)
+                edge = np.concatenate(([0], np.cumsum(size)))
+                before = token[np.repeat(first - edge[:-1], size) + np.arange(edge[-1])]
+                before = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(before))
+                yield pa.RecordBatch.from_arrays([pa.array(node[doc]), pa.array(token), pa.array(place), before], ["node", "token", "place", "before"])
 
     return run
 
 
 def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """node, token, place: of each text (node, text), its rarest tokens in order, so many that two texts of a similarity of at least `least` share one of them.
+    """node, token, place, before: of each text (node, text), its rarest tokens in order, so many that two texts of a similarity of at least `least` share one of them;
+    before holds the first of those that stand earlier, HEAD at most.
 
     That holds for any one order of all tokens; this one puts what occurs seldom first (by a bounded table of counters), so passages that very many texts share come last and
     make candidates only of texts that consist of little else. Tokens that occur once are left out, as they meet no other."""
@@ -220,7 +229,7 @@ def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
     for r in parts:
         tally[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["tally"], np.int64)
     told = spark.sparkContext.broadcast(np.minimum(tally, (1 << 31) - 1).astype(np.int32))
-    return texts.select("node", "text").mapInArrow(_prefixer(words, least, told), "node long, token long, place long")
+    return texts.select("node", "text").mapInArrow(_prefixer(words, least, told), "node long, token long, place long, before array<long>")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -245,7 +254,8 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
     registers (a pair at 0.8 is missed with probability 5e-4, one at 0.85 with 7e-6) and have signatures alike enough; every link is verified on the whole texts. Equal texts
     are one node. First, the members of each bucket of a band are compared with `pivots` of them, the shortest among these, so that copies never meet all of one another. Buckets whose members are then all in
     one class need no more, as classes are what is asked for. The members of the others are compared across classes where they share one of their rarest tokens (see prefixes), which any two
-    similar texts do; so no link is lost, and texts that merely hold one common passage do not meet.
+    similar texts do, once for each pair. Nothing is cut here: candidates are left out only by bounds that every similar pair meets, and by two tests of signatures
+    that a pair at exactly 0.8 fails by chance (four and five standard deviations: 1 in 30,000 and 1 in 3,000,000). Texts that merely hold one common passage do not meet.
 
     Texts without words (null and empty ones too) are classes of their own, row by row. A null doc_id counts as larger than all others; rows alike in doc_id
     and text fall into one class, of which one row is kept. Other columns are left aside. An empty table gives no rows."""
@@ -279,13 +289,15 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
     pair = [F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")]
     lead = [F.min(F.struct(*([F.col("n").alias("o")] if k == 0 else []), F.xxhash64(F.lit(k), F.col("node")), "node", "n")).alias(f"p{k}") for k in range(pivots)]
     chosen = rows_.groupBy("bucket").agg(F.count("*").alias("k"), *lead).where("k > 1")
-    chosen = chosen.select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{k}.node").alias("pn"), F.col(f"p{k}.n").alias("pk")) for k in range(pivots))))).alias("p")).select("bucket", "p.pn", "p.pk")
+    # staged, as are the mixed buckets: a join of two plain exchanges is one whose hot keys Spark can split
+    chosen = shared.staged(chosen.select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{k}.node").alias("pn"), F.col(f"p{k}.n").alias("pk")) for k in range(pivots))))).alias("p")).select("bucket", "p.pn", "p.pk"), "pivots")
     first_pairs = rows_.join(chosen, "bucket").where((F.col("node") != F.col("pn")) & near("pk")).select(*pair).distinct()
     first_pairs = shared.staged(first_pairs, "candidates")
     links = compared(first_pairs)
     found = shared.staged(components(links), "classes")
     here = rows_.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("class"))
     mixed = here.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
+    mixed = shared.staged(mixed, "mixed-buckets")
     open_ = shared.staged(here.join(mixed, "bucket").select("node", "n", "class").distinct(), "mixed-nodes")
     if not open_.isEmpty():
         texts = shared.staged(_texts_of(keyed, nodes, open_.select("node")), "mixed-texts")
@@ -293,8 +305,9 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
         sign = [F.col("signs")[k].alias(f"s{k}") for k in range(many)]
         tokens = shared.staged(prefixes(texts, words, least).join(open_, "node").join(nodes.select("node", *sign), "node"), "prefixes")
         across = tokens.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("token")
+        across = shared.staged(across, "mixed-tokens")
         tokens = tokens.join(across, "token")
-        other = tokens.select("token", F.col("node").alias("pn"), F.col("n").alias("pk"), F.col("class").alias("pc"), F.col("place").alias("pp"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(many)))
+        other = tokens.select("token", F.col("node").alias("pn"), F.col("n").alias("pk"), F.col("class").alias("pc"), F.col("place").alias("pp"), F.col("before").alias("pb"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(many)))
         # the first token they share stands early enough for all that they must share behind it
         enough = F.least(F.col("n") - F.col("place"), F.col("pk") - F.col("pp")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("pk")) - 1e-9
         # one bit of each register: equal by chance or for the same point; four standard deviations are allowed
@@ -303,7 +316,9 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
         for k in range(1, many):
             unlike = unlike + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}")))
         alike = unlike <= F.lit(m * (1 - p) + 4 * float(np.sqrt(m * p * (1 - p))))
-        rest = tokens.join(other, "token").where((F.col("class") < F.col("pc")) & near("pk") & enough & alike).select(*pair).distinct().join(first_pairs, ["a", "b"], "left_anti")
+        # a pair is made at its first common token; far into long prefixes, where `before` ends, perhaps again
+        once = ~F.arrays_overlap("before", "pb")
+        rest = tokens.join(other, "token").where((F.col("class") < F.col("pc")) & near("pk") & enough & alike & once).select(*pair).distinct().join(first_pairs, ["a", "b"], "left_anti")
         more = compared(shared.staged(rest, "candidates"))
         # links between classes join them
         of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
