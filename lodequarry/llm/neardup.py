@@ -97,8 +97,9 @@ def _signer(words: int, n_bands: int, rows: int):
     import pyarrow as pa
 
     def run(batches):
+        shared.release(held=True)
         for whole in batches:
-            for batch in shared.slices(whole, 4 << 20):
+            for batch in shared.slices(whole, 2 << 20):
                 doc, key, count, n = shingles(batch.column(batch.schema.get_field_index("text")), words)
                 made = signatures(doc, key, count, n, n_bands * rows)
                 got = bands(made, rows)
@@ -148,7 +149,7 @@ def _verifier(words: int, least: float):
 
     def run(batches):
         for whole in batches:
-            for batch in shared.slices(whole, 4 << 20, "text_b"):
+            for batch in shared.slices(whole, 2 << 20, "text_b"):
                 get = lambda c: batch.column(batch.schema.get_field_index(c))
                 ok = pa.array(similar(get("text_a"), get("text_b"), words, least))
                 yield pa.RecordBatch.from_arrays([get("a").filter(ok), get("b").filter(ok)], ["a", "b"])

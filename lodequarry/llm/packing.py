@@ -17,6 +17,8 @@ from lodequarry.llm import shared, tokens
 Pattern = tuple[int, tuple[int, ...]]
 #: Rows of the table of first ranks (partitions x lengths) up to which it is broadcast; a larger one is joined by an exchange.
 SMALL = 1 << 15
+#: Bytes of pieces that an encoder remembers here.
+MEMORY = 48 << 20
 
 
 def best_fit(counts: np.ndarray, room: int) -> list[Pattern]:
@@ -244,8 +246,8 @@ def _pieces(room: int, vocabulary: str, end: int, id_column: str, with_ids: bool
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         for whole in batches:
-            for batch in shared.slices(whole):
-                ids, count = tokens.encoder(vocabulary).encode(batch.column(batch.schema.get_field_index("text")), end)
+            for batch in shared.slices(whole, 2 << 20):
+                ids, count = tokens.encoder(vocabulary, MEMORY).encode(batch.column(batch.schema.get_field_index("text")), end)
                 ids = ids.astype("<u4", copy=False)
                 rows: list[list] = [[], [], [], [], []]
                 token_lists = []

@@ -94,8 +94,9 @@ def _measuring(text_column: str):
     import pyarrow as pa
 
     def run(batches):
+        shared.release(held=True)
         for whole in batches:
-            for batch in shared.slices(whole, 4 << 20, text_column):
+            for batch in shared.slices(whole, 2 << 20, text_column):
                 got = measure(batch.column(batch.schema.get_field_index(text_column)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[m].astype(np.int64)) for m in MEASURES)], [*batch.schema.names, *MEASURES])
 

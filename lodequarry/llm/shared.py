@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +45,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+# Rows and bytes that Spark hands to Python at a time while an operator writes.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While it lasts, Python gets small Arrow batches: both ends of the pipe hold one in memory, beside the whole heap."""
+    before = {k: spark.conf.get(k, None) for k in _BATCH}
+    for k, v in _BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there and any executor may be lost."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -139,7 +160,26 @@ def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.append(begin, len(buf))
 
 
-def slices(batch, limit: int = 8 << 20, column: str = "text"):
+#: What a Python worker keeps between tasks and can do without: called to drop it.
+HELD: list[Callable[[], None]] = []
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # another C library
+    _trim = None
+
+
+def release(held: bool = False) -> None:
+    """Give memory that is free back to the system, and with `held` also what other operators have remembered: workers live on, and share an executor's memory with its heap."""
+    import pyarrow as pa
+
+    for drop in HELD if held else ():
+        drop()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def slices(batch, limit: int = 4 << 20, column: str = "text"):
     """Parts of a record batch that hold about `limit` bytes of text at most, or one row."""
     import pyarrow.compute as pc
 
@@ -150,3 +190,5 @@ def slices(batch, limit: int = 8 << 20, column: str = "text"):
         to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    if len(size) and size[-1] > limit // 4:
+        release()

@@ -41,7 +41,7 @@ def _encoder(vocabulary: str, end: int, block: int, id_column: str):
 
         for whole in batches:
             kind = whole.schema.field(id_column).type
-            for batch in shared.slices(whole):
+            for batch in shared.slices(whole, 2 << 20):
                 ids, count = tokens.encoder(vocabulary).encode(batch.column(batch.schema.get_field_index("text")), end)
                 of = batch.column(batch.schema.get_field_index(id_column)).to_pylist()
                 edge = np.concatenate(([0], np.cumsum(count)))
@@ -72,7 +72,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"file int, block int, first long, n_tokens long, doc_ids array<{kind}>, doc_sizes array<long>, payload binary"
     ordered = docs.select(id_column, "text").repartitionByRange(F.col(id_column)).sortWithinPartitions(id_column, "text")
-    ordered.mapInArrow(_encoder(vocabulary or tokens.default_vocabulary(), end, block, id_column), schema).write.parquet(path)
+    blocks = ordered.mapInArrow(_encoder(vocabulary or tokens.default_vocabulary(), end, block, id_column), schema)
+    with shared.small_batches(docs.sparkSession):
+        blocks.write.parquet(path)
 
 
 def _decoder(kind, with_ids: bool):

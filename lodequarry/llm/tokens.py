@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
+from lodequarry.llm import shared
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -17,6 +20,12 @@ def default_vocabulary() -> str:
 #: A piece that opens with the blank before it, holds no other blank and neither begins nor ends with white space otherwise.
 _SOLID = re.compile(r" \S([^ ]*\S)?", re.DOTALL)
 _TOGETHER = 60
+#: In a text with two blanks in a row: before a single blank that something other than white space follows.
+_CUT = re.compile(r"(?= \S)")
+# The splitting for which texts may be cut before a blank.
+_SPLITTING = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Bytes that a remembered piece takes beside its letters and ids: a string, a place in a dictionary, two numbers.
+_OVERHEAD = 190
 
 
 class _Memory(dict):
@@ -37,18 +46,23 @@ class TextEncoder:
 
     The vocabulary's splitting pattern never joins what stands before a blank to what stands after it, save
     that one blank opens the next piece; so a text may be cut before any single blank, and equal pieces need the
-    library once only. Texts with two blanks in a row are one piece. New pieces are handed to the library some
-    dozens at a time, one behind the other as in a text; tokens that open with a blank tell where each begins.
-    `most` bounds the pieces remembered; beyond it the memory starts anew.
+    library once only. Texts with two blanks in a row are cut where one blank comes before something other than white space.
+    New pieces are handed to the library some dozens at a time, one behind the other as in a text; tokens that open with
+    a blank tell where each begins. `most` bounds the bytes remembered between calls; beyond it only the pieces that came
+    most often stay, up to half of it. A vocabulary that splits otherwise is given whole texts.
     """
 
-    def __init__(self, vocabulary: str, most: int = 1_500_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 128 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(vocabulary)
         self.lib.encode_special_tokens = True
         self.most = most
+        with open(vocabulary, encoding="utf-8") as f:
+            said = json.load(f)
+        split = said.get("pre_tokenizer") or {}
+        self.by_pieces = not said.get("normalizer") and all(split.get(k) == v for k, v in _SPLITTING.items())
         self.opens = np.zeros(self.lib.get_vocab_size(), bool)
         self.opens[[i for t, i in self.lib.get_vocab().items() if t.startswith("Ġ")]] = True  # fixed value: the vocabulary's sign for a blank
         self._forget()
@@ -58,15 +72,40 @@ class TextEncoder:
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint16 if len(self.opens) <= 1 << 16 else np.uint32)
-        self.used = 0
+        self.hits = np.zeros(1 << 16, np.int64)
+        self.used = self.held = 0
         self.memory[None] = 0  # stands for nothing
 
+    def _shrink(self) -> None:
+        """Keep the pieces that came most often, twice at least, up to half of the bytes allowed."""
+        pieces = list(self.memory)
+        hits, start, size, ids = self.hits[: len(pieces)], self.start, self.size, self.ids
+        order = np.argsort(-hits, kind="stable")
+        order = order[(hits[order] > 1) & (order > 0)]
+        room = np.cumsum(np.fromiter((len(pieces[k]) for k in order.tolist()), np.int64, len(order)) + _OVERHEAD + size[order] * ids.itemsize)
+        order = order[room <= self.most // 2]
+        self._forget()
+        for k in order.tolist():
+            self.memory[pieces[k]]
+        self.memory.waiting = []
+        total = np.concatenate(([0], np.cumsum(size[order])))
+        flat = ids[np.repeat(start[order] - total[:-1], size[order]) + np.arange(total[-1])]
+        self._grow()
+        self._store(np.arange(1, len(order) + 1), flat, size[order])
+        self.held = int(room[len(order) - 1]) if len(order) else 0
+
+    def _grow(self) -> None:
+        while len(self.memory) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.hits), np.int64)])
+
     def _store(self, numbers: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.size[numbers] = size
         self.start[numbers] = self.used + np.cumsum(size) - size
         self.ids[self.used : self.used + len(flat)] = flat
+        self.held += flat.size * self.ids.itemsize
         self.used += len(flat)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +115,8 @@ class TextEncoder:
     def _learn(self) -> None:
         new = self.memory.waiting
         first = len(self.memory) - len(new)
-        while len(self.memory) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        self._grow()
+        self.held += sum(map(len, new)) + _OVERHEAD * len(new)
         solid = np.fromiter((_SOLID.fullmatch(p) is not None for p in new), bool, len(new))
         whole, joint = np.flatnonzero(~solid), np.flatnonzero(solid)
         for at in range(0, len(whole), 10_000):
@@ -99,12 +138,13 @@ class TextEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.memory) > self.most:
-            self._forget()
-        of = self.memory.__getitem__
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        if not self.by_pieces:
+            flat, count = self._encoded(texts.to_pylist())
+            return self._ended(flat.astype(self.ids.dtype), count, end)
+        of = self.memory.__getitem__
         gaps = pc.match_substring(texts, "  ")
-        odd = {k: texts[k].as_py() for k in np.flatnonzero(gaps.to_numpy(zero_copy_only=False))}
+        odd = {k: texts[k].as_py() for k in np.flatnonzero(gaps.to_numpy(zero_copy_only=False)).tolist()}
         if odd:
             texts = pc.if_else(gaps, "", texts)
         lists = pc.split_pattern(texts, " ")
@@ -119,16 +159,27 @@ class TextEncoder:
         words = coded.dictionary.to_pylist()
         number = np.fromiter((of(" " + w) if s else 0 for w, s in zip(words, seen.tolist())), np.int64, len(words))
         which = number[code]
-        which[edge[:-1]] = [of(odd.get(k) or words[c] or None) for k, c in enumerate(code[edge[:-1]].tolist())]
+        which[edge[:-1]] = [of(words[c] or None) for c in code[edge[:-1]].tolist()]
+        if odd:  # each of these is one empty word so far
+            parts = np.split(which, edge[1:-1])
+            for k, text in odd.items():
+                parts[k] = np.fromiter(map(of, _CUT.split(text)), np.int64)
+            which, edge = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         if self.memory.waiting:
             self._learn()
+        self.hits[: len(self.memory)] += np.bincount(which, minlength=len(self.memory))
         size = self.size[which]
         total = np.concatenate(([0], np.cumsum(size)))
         flat = self.ids[np.repeat(self.start[which] - total[:-1], size) + np.arange(total[-1])]
-        count = np.diff(total[edge])
+        if self.held > self.most:
+            self._shrink()
+        return self._ended(flat, np.diff(total[edge]), end)
+
+    @staticmethod
+    def _ended(flat: np.ndarray, count: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         if end is None:
             return flat, count
-        out = np.full(len(flat) + len(count), end, self.ids.dtype)
+        out = np.full(len(flat) + len(count), end, flat.dtype)
         text = np.ones(len(out), bool)
         text[np.cumsum(count + 1) - 1] = False
         out[text] = flat
@@ -138,8 +189,12 @@ class TextEncoder:
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(vocabulary: str) -> TextEncoder:
-    """This worker's encoder; kept from task to task."""
+def encoder(vocabulary: str, most: int = 128 << 20) -> TextEncoder:
+    """This worker's encoder; kept from task to task, until an operator that needs none runs here."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = TextEncoder(vocabulary)
+    _ENCODERS[vocabulary].most = most
     return _ENCODERS[vocabulary]
+
+
+shared.HELD.append(_ENCODERS.clear)
