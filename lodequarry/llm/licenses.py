@@ -1,6 +1,7 @@
-"""Licence scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance from the nearest directory above.
+"""Licence scans: sparse TF-IDF cosine of headers, notices and licence texts to templates, then inheritance from the nearest directory above.
 
-All of it is DataFrame operations. Scoring needs no exchange; inheritance joins directories, not files, to the directories above them.
+All of it is DataFrame operations. Texts with a licence word are taken once each, however many rows hold them; their terms are exploded and joined to the templates' sparse weights, so
+that the work is linear in the terms. Inheritance joins directories, not files, to the directories above them.
 """
 
 from __future__ import annotations
@@ -8,10 +9,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodequarry.llm import shared
+
 # Notices and opening sentences by which licences are known.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -48,14 +53,21 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("proprietary", "All rights reserved"),
     ("proprietary", "Copyright. All rights reserved"),
 )
-# A notice has one of these; and the names licence files go by.
-ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|public domain|redistribut|hereby granted|spdx"
-ANCHOR_TERM = r"^(licen[cs]|sublicen[cs]|copyright|redistribut)|^(rights|domain|hereby|mpl)$"
+# A text with a notice has one of these, in lower case; and the names licence files go by.
+ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "redistribut", "hereby granted", "spdx", "mpl", "software is provided")
 SPDX = r"(?i)spdx-license-identifier:[ \t]*(\(?[a-z0-9][a-z0-9.+-]*\)?(?:[ \t]+(?:and|or|with)[ \t]+\(?[a-z0-9][a-z0-9.+-]*\)?)*)"
 FILE_NAME = r"(?i)^(un)?licen[cs]e([._-].*)?$|^copying([._-].*)?$|^notice(\.(txt|md))?$"
+#: Directories under a licence file that are broadcast at most.
+DIRECTORIES = 1 << 16
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
@@ -88,84 +100,73 @@ def vectors(weights: dict[str, float], templates: tuple[tuple[str, str], ...]) -
     return out
 
 
-def _map(values: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv))
-
-
-def _best(said: Column, weighed: Column, anchors: Column, known: list[tuple[str, dict[str, float]]], sizes: list[int], least: float) -> Column:
-    """Of a text's terms, their weights and the places of licence words among them, the score and name of the nearest template; null below `least`.
-
-    A template meets the windows of terms that begin at one of its terms, hold a licence word and are up to as long as the template, or half as long
-    again; each ends with its last term of the template, so what stands around a notice does not count. Templates too few of whose terms the text has for
-    a cosine of `least` are left out, as no window of it can reach that. Licences go before "proprietary", then the score, the longer template and the last name."""
-    laws = [F.struct(F.lit(name).alias("license"), F.lit(size).alias("size"), F.lit(reach).alias("reach"), _map(v).alias("at")) for (name, v), size in zip(known, sizes) for reach in (size, size + size // 2 + 1)]
-    total = lambda items, of: F.aggregate(items, F.lit(0.0), lambda acc, x: acc + of(x))
-
-    def possible(law):
-        return total(F.map_values(F.map_filter(law["at"], lambda t, _: F.array_contains(F.col("lq_said_once"), t))), lambda x: x * x) >= least * least - 1e-9
-
-    def cosine(law, places):
-        dot = total(places, lambda k: F.element_at(weighed, k) * F.coalesce(F.try_element_at(law["at"], F.element_at(said, k)), F.lit(0.0)))
-        within = F.slice(said, F.element_at(places, 1), F.size(places))
-        square = total(places, lambda k: F.element_at(weighed, k) * F.element_at(weighed, k))
-        counted = total(places, lambda k: F.element_at(weighed, k) * F.element_at(weighed, k) * F.size(F.filter(within, lambda t: t == F.element_at(said, k))))
-        # no term counts less than once, so the plain sum bounds the cosine from above
-        return F.when(dot >= (least - 1e-9) * F.sqrt(square), F.least(F.lit(1.0), dot / F.sqrt(counted))).otherwise(0.0)
-
-    def nearest(law):
-        of_law = lambda k: F.map_contains_key(law["at"], F.element_at(said, k))
-        starts = F.array_distinct(F.flatten(F.transform(anchors, lambda a: F.sequence(F.greatest(F.lit(1), a - law["reach"] + 1), a))))
-        starts = F.filter(starts, of_law)
-        last = lambda p: F.array_max(F.filter(F.sequence(p, F.least(p + law["reach"] - 1, F.size(said))), of_law))
-        return F.array_max(F.transform(starts, lambda p: cosine(law, F.sequence(p, last(p)))))
-
-    scores = F.transform(F.filter(F.array(*laws), possible), lambda law: F.struct((law["license"] != "proprietary").alias("named"), nearest(law).alias("score"), law["size"].alias("size"), law["license"].alias("license")))
-    return F.array_max(F.filter(scores, lambda x: x["score"] >= least))
+def _anchored(text: Column) -> Column:
+    low = F.lower(text)
+    return F.coalesce(reduce(or_, (low.contains(a) for a in ANCHORS)), F.lit(False))
+
+
+def nearest(texts: DataFrame, weights: dict[str, float], rare: float, templates: tuple[tuple[str, str], ...], least: float) -> DataFrame:
+    """key, score, license: of each distinct text (key, terms), the licence of the nearest template, where its cosine is `least` or more.
+
+    A template can be near only to a text whose terms carry enough of its weight; others are left out first. It then meets the windows that begin at one of its terms and reach as far
+    as it is long, or half as far again, up to its last term in them. Every window gets the bound that its cosine would have if no term came twice, by sums over the
+    window; the window of the highest bound (the first of these) is the template's, and its cosine is counted term by term. Licences go before "proprietary", then the score, the
+    longer template and the last name. The work is linear in the terms times the length of the longest template; a text's terms meet in one task, row by row."""
+    spark = texts.sparkSession
+    size = [len(terms_of(x)) for _, x in templates]
+    laws = F.broadcast(spark.createDataFrame([(k, name, n) for k, ((name, _), n) in enumerate(zip(templates, size))], "law int, license string, size int"))  # a row per template
+    posted = [(t, k, x) for k, (_, v) in enumerate(vectors(weights, templates)) for t, x in v.items()]
+    postings = F.broadcast(spark.createDataFrame(posted, "term string, law int, share double"))  # a row per term of a template
+    known = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, weight double"))  # a row per term
+    each = texts.select("key", F.posexplode("terms").alias("pos", "term")).join(known, "term", "left").withColumn("weight", F.coalesce("weight", F.lit(rare)))
+    each = shared.staged(each.withColumn("upto", F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("key").orderBy("pos"))), "license-terms")
+    held = texts.select("key", F.explode(F.array_distinct("terms")).alias("term")).join(postings, "term")
+    able = held.groupBy("key", "law").agg(F.sum(F.col("share") * F.col("share")).alias("s")).where(F.col("s") >= least * least - 1e-9).select("key", "law")
+    able = shared.staged(able, "license-able")
+    met = each.join(postings, "term").join(able, ["key", "law"]).join(laws, "law")
+    met = met.withColumn("reach", F.explode(F.array(F.col("size"), F.col("size") + F.floor(F.col("size") / 2).cast("int") + 1)))
+    over = "OVER (PARTITION BY key, law, reach ORDER BY pos / reach RANGE BETWEEN CURRENT ROW AND 0.9999999D FOLLOWING)"
+    windows = met.select("key", "law", "pos", F.expr(f"max(pos) {over}").alias("last"), (F.expr(f"sum(weight * share) {over}") / F.sqrt(F.expr(f"max(upto) {over}") - F.col("upto") + F.col("weight") * F.col("weight"))).alias("bound"))
+    windows = windows.where(F.col("bound") >= least - 1e-9).groupBy("key", "law").agg(F.max(F.struct("bound", (-F.col("pos")).alias("at"), "last")).alias("w"))
+    windows = windows.select("key", "law", (-F.col("w.at")).alias("pos"), F.col("w.last").alias("last"))
+    inside = windows.join(texts, "key").select("key", "law", F.explode(F.slice("terms", F.col("pos") + 1, F.col("last") - F.col("pos") + 1)).alias("term"))
+    counted = inside.groupBy("key", "law", "term").agg(F.count("*").alias("n")).join(known, "term", "left").join(postings, ["law", "term"], "left")
+    counted = counted.select("key", "law", (F.col("n") * F.coalesce("weight", F.lit(rare))).alias("x"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    scored = counted.groupBy("key", "law").agg(F.least(F.lit(1.0), F.sum(F.col("x") * F.col("share")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("score")).where(F.col("score") >= least)
+    best = scored.join(laws, "law").groupBy("key").agg(F.max(F.struct((F.col("license") != "proprietary").alias("named"), "score", "size", "license")).alias("b"))
+    return best.select("key", "b.score", "b.license")
 
 
 def scan(files: DataFrame, path_column: str = "path", text_column: str = "text", least: float = 0.75, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """All rows and columns of files with license, license_score, license_basis and license_from.
 
-    The first SPDX identifier of a text names its licence as it is written, with score 1. Otherwise windows of words around every licence word, across lines and within long
-    ones, are compared to all templates; the nearest template of cosine `least` or more names the licence ("file" where the file has a licence file's name, else "notice"). A row without one takes that of the nearest directory at or above
-    its own that holds a licence file ("inherited", license_from is the directory); several such files in one directory: the highest score, then the last name.
+    The first SPDX identifier of a text names its licence as it is written, with score 1. Otherwise the nearest template of cosine `least` or more to a window of its words, across lines and
+    within long ones, names the licence (see nearest; "file" where the file has a licence file's name, else "notice"); texts without any of ANCHORS have none. A row without one takes that of the
+    nearest directory at or above its own that holds a licence file ("inherited", license_from is the directory); several such files in one directory: the highest score, then the last name.
     All else, null texts and null paths among it, has null in these columns. Paths are parted by "/". Rows alike are scored alike. Columns of these names are
     replaced. An empty table gives an empty result."""
     files = files.drop("license", "license_score", "license_basis", "license_from")
     vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
     weights, rare = idf(files, vocabulary, text_column)
-    known = vectors(weights, templates)
     text, path = F.coalesce(F.col(text_column), F.lit("")), F.col(path_column)
-    name = F.element_at(F.split(path, "/"), -1)
-    is_file = F.coalesce(name.rlike(FILE_NAME), F.lit(False))
-    # texts without any licence word end here; the others are few
-    # an explode of one element keeps later filters from being pushed below, which would score again for every use
-    once = lambda c: F.explode(F.array(c))
-    said = once(F.when(text.rlike(ANCHOR), _terms(text)))
-    scored = files.withColumn("lq_said", said).withColumns({"lq_spdx": F.regexp_extract(text, SPDX, 1), "lq_file": is_file, "lq_dir": F.regexp_extract(path, "^(.*)/[^/]*$", 1)})
-    places = F.filter(F.sequence(F.lit(1), F.size("lq_said")), lambda k: F.element_at("lq_said", k).rlike(ANCHOR_TERM))
-    some = F.size("lq_said") > 0
-    table = _map(weights)
-    scored = scored.withColumns({
-        "lq_said_once": F.when(some, F.array_intersect(F.col("lq_said"), F.array(*map(F.lit, vocabulary)))),
-        "lq_weighed": F.when(some, F.transform("lq_said", lambda t: F.coalesce(F.try_element_at(table, t), F.lit(rare)))),
-        "lq_anchors": F.when(some, places),
-    })
-    best = _best(F.col("lq_said"), F.col("lq_weighed"), F.col("lq_anchors"), known, [len(terms_of(x)) for _, x in templates], least)
-    some_terms = F.struct("lq_said_once", "lq_weighed", "lq_anchors")
-    scored = scored.withColumn("lq_terms", once(some_terms)).withColumns({c: F.col("lq_terms")[c] for c in ("lq_said_once", "lq_weighed", "lq_anchors")})
-    by_id = F.struct(F.lit(1.0).alias("score"), F.col("lq_spdx").alias("license"))
-    near = F.when(F.size("lq_anchors") > 0, best)
-    scored = scored.withColumn("lq_near_law", once(near)).withColumn("lq_best", F.when(F.col("lq_spdx") != "", by_id).otherwise(F.struct(F.col("lq_near_law.score").alias("score"), F.col("lq_near_law.license").alias("license"))))
-    scored = scored.drop("lq_said", "lq_said_once", "lq_weighed", "lq_anchors", "lq_spdx", "lq_near_law", "lq_terms")
-    own = F.coalesce(F.col("lq_best.score") >= least, F.lit(False))
-    scored = scored.withColumn("lq_own", own)
+    key = F.when(_anchored(text), F.md5(text))
+    texts = files.select(key.alias("key"), text.alias("text")).where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
+    texts = shared.staged(texts.select("key", _terms(F.col("text")).alias("terms"), F.regexp_extract("text", SPDX, 1).alias("spdx")), "license-texts")
+    near = nearest(texts.where("spdx = ''").select("key", "terms"), weights, rare, templates, least)
+    best = shared.staged(near.union(texts.where("spdx != ''").select("key", F.lit(1.0).alias("score"), F.col("spdx").alias("license"))), "license-best")
+    best = best.select(F.col("key").alias("lq_at"), F.struct("score", "license").alias("lq_best"))
+    is_file = F.coalesce(F.element_at(F.split(path, "/"), -1).rlike(FILE_NAME), F.lit(False))
+    named = files.withColumns({"lq_file": is_file, "lq_dir": F.regexp_extract(path, "^(.*)/[^/]*$", 1), "lq_key": key})
+    scored = named.join(best, F.col("lq_key") == F.col("lq_at"), "left").withColumn("lq_own", F.col("lq_best").isNotNull())
     from_files = scored.where("lq_own and lq_file").groupBy("lq_dir").agg(F.max(F.struct("lq_best.score", "lq_best.license")).alias("lq_law")).select(F.col("lq_dir").alias("above"), "lq_law")
-    dirs = scored.where(~F.col("lq_own") & path.isNotNull()).select("lq_dir").distinct()
+    from_files = shared.staged(from_files, "license-files")
+    dirs = named.where(path.isNotNull()).select("lq_dir").distinct()
     parts = F.split("lq_dir", "/")
     ups = dirs.select("lq_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("above")).distinct()
-    nearest = ups.join(from_files, "above").groupBy("lq_dir").agg(F.max_by(F.struct("lq_law", "above"), F.length("above")).alias("lq_near")).withColumnRenamed("lq_dir", "lq_of")
-    out = scored.join(nearest, ~F.col("lq_own") & path.isNotNull() & (F.col("lq_dir") == F.col("lq_of")), "left")
+    found = ups.join(from_files, "above").groupBy("lq_dir").agg(F.max_by(F.struct("lq_law", "above"), F.length("above")).alias("lq_near")).withColumnRenamed("lq_dir", "lq_of")
+    found = shared.staged(found, "license-dirs")  # few enough for every task, or joined by an exchange whose hot directories Spark can split
+    found = F.broadcast(found) if found.count() <= DIRECTORIES else found
+    out = scored.join(found, ~F.col("lq_own") & path.isNotNull() & (F.col("lq_dir") == F.col("lq_of")), "left")
     pick = lambda a, b: F.when(F.col("lq_own"), a).otherwise(b)
     return out.select(
         *files.columns,

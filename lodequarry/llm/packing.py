@@ -18,7 +18,7 @@ Pattern = tuple[int, tuple[int, ...]]
 #: Rows of the table of first ranks (partitions x lengths) up to which it is broadcast; a larger one is joined by an exchange.
 SMALL = 1 << 15
 #: Bytes of pieces that an encoder remembers here.
-MEMORY = 48 << 20
+MEMORY = 80 << 20
 
 
 def best_fit(counts: np.ndarray, room: int) -> list[Pattern]:

@@ -66,8 +66,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's path is its source, its language and its id."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text")
+    """A document's path is its source, its language, one of 64 directories by id, and its id; a document whose first line has a licence word is its directory's licence file."""
+    heads = F.lower(F.substring_index("text", "\n", 1)).rlike("licen[cs]e|rights reserved")
+    name = F.when(heads, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id") % 64, name).alias("path"), "text")
     return licenses.scan(docs).select("doc_id", "license", "license_score", "license_basis", "license_from")
 
 

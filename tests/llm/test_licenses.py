@@ -47,3 +47,17 @@ def test_headers_over_lines_within_lines_and_by_identifier(spark):
     df = spark.createDataFrame([(k, f"d/{k}.c", t) for k, (t, _) in enumerate(rows)], "id long, path string, text string")
     got = {r["id"]: r["license"] for r in licenses.scan(df).collect()}
     assert got == {k: name for k, (_, name) in enumerate(rows)}
+
+
+def test_a_long_line_of_different_words_is_linear(spark):
+    line = "Permission is hereby granted " + " ".join(f"w{k}" for k in range(100_000)) + " this is released under the MIT License"
+    df = spark.createDataFrame([("a/x.js", line)] * 3, "path string, text string")
+    assert [r["license"] for r in licenses.scan(df).collect()] == ["MIT"] * 3
+
+
+def test_whole_licence_texts_are_known(spark):
+    whole = [t for t in licenses.TEMPLATES if len(t[1]) > 600]
+    df = spark.createDataFrame([(k, f"{k}/COPYING", "Copyright (c) 2021 Ann Other\n\n" + x.replace(". ", ".\n * ")) for k, (_, x) in enumerate(whole)] + [(100 + k, f"{k}/src/a.c", "int x;") for k in range(len(whole))], "id long, path string, text string")
+    got = {r["id"]: r for r in licenses.scan(df).collect()}
+    for k, (name, _) in enumerate(whole):
+        assert (got[k]["license"], got[k]["license_basis"]) == (name, "file") and (got[100 + k]["license"], got[100 + k]["license_basis"], got[100 + k]["license_from"]) == (name, "inherited", str(k))
