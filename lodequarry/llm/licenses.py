@@ -66,7 +66,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "redistribut", "hereby granted", "spdx", "mpl", "software is provided")
 SPDX = r"(?i)spdx-license-identifier:[ \t]*(\(?[a-z0-9][a-z0-9.+-]*\)?(?:[ \t]+(?:and|or|with)[ \t]+\(?[a-z0-9][a-z0-9.+-]*\)?)*)"
 FILE_NAME = r"(?i)^(un)?licen[cs]e([._-].*)?$|^copying([._-].*)?$|^notice(\.(txt|md))?$"
-#: Directories under a licence file that are broadcast at most.
+#: Directories under a licence file, or windows near a template, that are broadcast at most.
 DIRECTORIES = 1 << 16
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -106,7 +106,7 @@ def _anchored(text: Column) -> Column:
 
 
 def nearest(texts: DataFrame, weights: dict[str, float], rare: float, templates: tuple[tuple[str, str], ...], least: float) -> DataFrame:
-    """key, score, license: of each distinct text (key, terms), the licence of the nearest template, where its cosine is `least` or more.
+    """id, score, license: of each distinct text (id, terms), the licence of the nearest template, where its cosine is `least` or more.
 
     A template can be near only to a text whose terms carry enough of its weight; others are left out first. It then meets the windows that begin at one of its terms and reach as far
     as it is long, or half as far again, up to its last term in them. Every window gets the bound that its cosine would have if no term came twice, by sums over the
@@ -118,23 +118,26 @@ def nearest(texts: DataFrame, weights: dict[str, float], rare: float, templates:
     posted = [(t, k, x) for k, (_, v) in enumerate(vectors(weights, templates)) for t, x in v.items()]
     postings = F.broadcast(spark.createDataFrame(posted, "term string, law int, share double"))  # a row per term of a template
     known = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, weight double"))  # a row per term
-    each = texts.select("key", F.posexplode("terms").alias("pos", "term")).join(known, "term", "left").withColumn("weight", F.coalesce("weight", F.lit(rare)))
-    each = shared.staged(each.withColumn("upto", F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("key").orderBy("pos"))), "license-terms")
-    held = texts.select("key", F.explode(F.array_distinct("terms")).alias("term")).join(postings, "term")
-    able = held.groupBy("key", "law").agg(F.sum(F.col("share") * F.col("share")).alias("s")).where(F.col("s") >= least * least - 1e-9).select("key", "law")
+    # terms that no template has all weigh alike, so only the others need rows
+    each = texts.select("id", F.posexplode("terms").alias("pos", "term")).join(known, "term")
+    more = F.sum(F.col("weight") * F.col("weight") - rare * rare).over(Window.partitionBy("id").orderBy("pos"))
+    each = shared.staged(each.withColumn("upto", more + (F.col("pos") + 1) * F.lit(rare * rare)), "license-terms")
+    held = texts.select("id", F.explode(F.array_distinct("terms")).alias("term")).join(postings, "term")
+    able = held.groupBy("id", "law").agg(F.sum(F.col("share") * F.col("share")).alias("s")).where(F.col("s") >= least * least - 1e-9).select("id", "law")
     able = shared.staged(able, "license-able")
-    met = each.join(postings, "term").join(able, ["key", "law"]).join(laws, "law")
+    met = each.join(postings, "term").join(able, ["id", "law"]).join(laws, "law")
     met = met.withColumn("reach", F.explode(F.array(F.col("size"), F.col("size") + F.floor(F.col("size") / 2).cast("int") + 1)))
-    over = "OVER (PARTITION BY key, law, reach ORDER BY pos / reach RANGE BETWEEN CURRENT ROW AND 0.9999999D FOLLOWING)"
-    windows = met.select("key", "law", "pos", F.expr(f"max(pos) {over}").alias("last"), (F.expr(f"sum(weight * share) {over}") / F.sqrt(F.expr(f"max(upto) {over}") - F.col("upto") + F.col("weight") * F.col("weight"))).alias("bound"))
-    windows = windows.where(F.col("bound") >= least - 1e-9).groupBy("key", "law").agg(F.max(F.struct("bound", (-F.col("pos")).alias("at"), "last")).alias("w"))
-    windows = windows.select("key", "law", (-F.col("w.at")).alias("pos"), F.col("w.last").alias("last"))
-    inside = windows.join(texts, "key").select("key", "law", F.explode(F.slice("terms", F.col("pos") + 1, F.col("last") - F.col("pos") + 1)).alias("term"))
-    counted = inside.groupBy("key", "law", "term").agg(F.count("*").alias("n")).join(known, "term", "left").join(postings, ["law", "term"], "left")
-    counted = counted.select("key", "law", (F.col("n") * F.coalesce("weight", F.lit(rare))).alias("x"), F.coalesce("share", F.lit(0.0)).alias("share"))
-    scored = counted.groupBy("key", "law").agg(F.least(F.lit(1.0), F.sum(F.col("x") * F.col("share")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("score")).where(F.col("score") >= least)
-    best = scored.join(laws, "law").groupBy("key").agg(F.max(F.struct((F.col("license") != "proprietary").alias("named"), "score", "size", "license")).alias("b"))
-    return best.select("key", "b.score", "b.license")
+    over = "OVER (PARTITION BY id, law, reach ORDER BY pos / reach RANGE BETWEEN CURRENT ROW AND 0.9999999D FOLLOWING)"
+    windows = met.select("id", "law", "pos", F.expr(f"max(pos) {over}").alias("last"), (F.expr(f"sum(weight * share) {over}") / F.sqrt(F.expr(f"max(upto) {over}") - F.col("upto") + F.col("weight") * F.col("weight"))).alias("bound"))
+    windows = windows.where(F.col("bound") >= least - 1e-9).groupBy("id", "law").agg(F.max(F.struct("bound", (-F.col("pos")).alias("at"), "last")).alias("w"))
+    windows = shared.staged(windows.select("id", "law", (-F.col("w.at")).alias("pos"), F.col("w.last").alias("last")), "license-windows")
+    windows = F.broadcast(windows) if windows.count() <= DIRECTORIES else windows
+    inside = texts.join(windows, "id").select("id", "law", F.explode(F.slice("terms", F.col("pos") + 1, F.col("last") - F.col("pos") + 1)).alias("term"))
+    counted = inside.groupBy("id", "law", "term").agg(F.count("*").alias("n")).join(known, "term", "left").join(postings, ["law", "term"], "left")
+    counted = counted.select("id", "law", (F.col("n") * F.coalesce("weight", F.lit(rare))).alias("x"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    scored = counted.groupBy("id", "law").agg(F.least(F.lit(1.0), F.sum(F.col("x") * F.col("share")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("score")).where(F.col("score") >= least)
+    best = scored.join(laws, "law").groupBy("id").agg(F.max(F.struct((F.col("license") != "proprietary").alias("named"), "score", "size", "license")).alias("b"))
+    return best.select("id", "b.score", "b.license")
 
 
 def scan(files: DataFrame, path_column: str = "path", text_column: str = "text", least: float = 0.75, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -151,8 +154,9 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     text, path = F.coalesce(F.col(text_column), F.lit("")), F.col(path_column)
     key = F.when(_anchored(text), F.md5(text))
     texts = files.select(key.alias("key"), text.alias("text")).where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
-    texts = shared.staged(texts.select("key", _terms(F.col("text")).alias("terms"), F.regexp_extract("text", SPDX, 1).alias("spdx")), "license-texts")
-    near = nearest(texts.where("spdx = ''").select("key", "terms"), weights, rare, templates, least)
+    texts = shared.staged(texts.select("key", F.monotonically_increasing_id().alias("id"), _terms(F.col("text")).alias("terms"), F.regexp_extract("text", SPDX, 1).alias("spdx")), "license-texts")
+    near = nearest(texts.where("spdx = ''").select("id", "terms"), weights, rare, templates, least)
+    near = near.join(texts.select("id", "key"), "id").select("key", "score", "license")
     best = shared.staged(near.union(texts.where("spdx != ''").select("key", F.lit(1.0).alias("score"), F.col("spdx").alias("license"))), "license-best")
     best = best.select(F.col("key").alias("lq_at"), F.struct("score", "license").alias("lq_best"))
     is_file = F.coalesce(F.element_at(F.split(path, "/"), -1).rlike(FILE_NAME), F.lit(False))
