@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodequarry.operators.intervals import containment_join
+
 
 def correlated(calls: DataFrame, work: DataFrame, call_id: str = "call_id", work_id: str = "work_id", key: str = "correlation_id") -> DataFrame:
     """Every call and every unit of work with its partners by key, as typed rows: call_id, work_id, cardinality, support_state.
@@ -36,11 +38,13 @@ def correlated(calls: DataFrame, work: DataFrame, call_id: str = "call_id", work
 
 
 def contained_once(calls: DataFrame, work: DataFrame, key: str) -> DataFrame:
-    """For keys that several calls reuse: work with the one call of its key that contains it in time; ambiguous if several do, unmatched if none does."""
-    met = work.join(calls.select(key, F.col("call_id"), F.col("start_ns").alias("c0"), F.col("end_ns").alias("c1")), key, "left")
-    inside = (F.col("start_ns") >= F.col("c0")) & (F.col("end_ns") <= F.col("c1"))
-    by = met.groupBy("work_id").agg(F.count_if(inside).alias("n"), F.min(F.when(inside, F.col("call_id"))).alias("one"))
-    return by.select("work_id", F.when(F.col("n") == 1, F.col("one")).alias("call_id"), F.when(F.col("n") == 1, "supported_deterministic").when(F.col("n") > 1, "ambiguous_runtime_scope").otherwise("unmatched_work").alias("support_state"))
+    """For keys that several calls reuse: work with the one call of its key that contains it in time; ambiguous if several do, unmatched if none does (or the key is null).
+
+    Containment is looked up by time bins, so that work meets only the calls around it."""
+    inside = containment_join(calls.select(key, "call_id", "start_ns", "end_ns"), work.select(key, "work_id", "start_ns", "end_ns"), [key])
+    by = inside.groupBy("work_id").agg(F.count("*").alias("n"), F.min("call_id").alias("one"))
+    met = work.select("work_id").distinct().join(by, "work_id", "left")
+    return met.select("work_id", F.when(F.col("n") == 1, F.col("one")).alias("call_id"), F.when(F.col("n") == 1, "supported_deterministic").when(F.col("n") > 1, "ambiguous_runtime_scope").otherwise("unmatched_work").alias("support_state"))
 
 
 def host_intervals(anchors: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

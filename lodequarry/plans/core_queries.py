@@ -187,13 +187,12 @@ def correlation_states(spark, sf):
     return R.correlated(runtime_call(spark, sf), device_work(spark, sf)).groupBy("support_state", "cardinality").agg(F.count("*").alias("n"))
 
 
-@query("JOIN-04", f"""WITH m AS (SELECT w.work_id, c.call_id, w.start_ns >= c.start_ns AND w.end_ns <= c.end_ns AS hit FROM (SELECT *, device_id AS g FROM {DEVICE_WORK} WHERE work_id % 5 = 0) w
- LEFT JOIN (SELECT *, process_id AS g FROM {RUNTIME_CALL} WHERE call_id % 10 = 0) c ON c.g = w.g)
- SELECT work_id, CASE WHEN count(*) FILTER (hit) = 1 THEN min(call_id) FILTER (hit) END AS call_id, CASE WHEN count(*) FILTER (hit) = 1 THEN 'supported_deterministic' WHEN count(*) FILTER (hit) > 1 THEN 'ambiguous_runtime_scope' ELSE 'unmatched_work' END AS support_state
+@query("JOIN-04", f"""WITH m AS (SELECT w.work_id, c.call_id FROM (SELECT *, device_id AS g FROM {DEVICE_WORK}) w
+ LEFT JOIN (SELECT *, process_id AS g FROM {RUNTIME_CALL}) c ON c.g = w.g AND w.start_ns >= c.start_ns AND w.end_ns <= c.end_ns)
+ SELECT work_id, CASE WHEN count(call_id) = 1 THEN min(call_id) END AS call_id, CASE WHEN count(call_id) = 1 THEN 'supported_deterministic' WHEN count(call_id) > 1 THEN 'ambiguous_runtime_scope' ELSE 'unmatched_work' END AS support_state
  FROM m GROUP BY work_id""")
 def reused_ids(spark, sf):
-    calls = runtime_call(spark, sf).where("call_id % 10 = 0").withColumnRenamed("process_id", "g")
-    return R.contained_once(calls, device_work(spark, sf).where("work_id % 5 = 0").withColumnRenamed("device_id", "g"), "g")
+    return R.contained_once(runtime_call(spark, sf).withColumnRenamed("process_id", "g"), device_work(spark, sf).withColumnRenamed("device_id", "g"), "g")
 
 
 @query("JOIN-05", f"""SELECT e.event_id, c.event_id AS r_event_id, CASE WHEN c.start_ns >= e.start_ns AND c.end_ns <= e.end_ns THEN 'contained' ELSE 'boundary_overlap' END AS relation,
@@ -208,11 +207,10 @@ def overlaps(spark, sf):
     return met.select("event_id", "r_event_id", F.when(inside, "contained").otherwise("boundary_overlap").alias("relation"), S.micros(S.null_least("r_end_ns", "end_ns") - S.null_greatest("r_start_ns", "start_ns")).alias("overlap_us"), (F.row_number().over(w).cast("long") - 1).alias("observed_order"))
 
 
-@query("JOIN-07", "SELECT n_nationkey, s.pos, n_regionkey FROM nation JOIN (SELECT unnest(range(0, 30)) AS pos) s ON s.pos >= n_nationkey AND s.pos < n_nationkey + n_regionkey")
+@query("JOIN-07", "SELECT n_nationkey, s.pos, n_regionkey FROM nation JOIN (SELECT unnest(range(0, 40)) AS pos) s ON s.pos >= n_nationkey AND s.pos < n_nationkey + n_regionkey")
 def position_interval(spark, sf):
     n = table(spark, sf, "nation").where("n_regionkey > 0")
-    pos = n.select("n_nationkey", F.explode(F.sequence(F.col("n_nationkey").cast("long"), F.col("n_nationkey").cast("long") + F.col("n_regionkey") - 1)).alias("pos"), "n_regionkey")
-    return pos.where("pos < 30")
+    return n.select("n_nationkey", F.explode(F.sequence(F.col("n_nationkey").cast("long"), F.col("n_nationkey").cast("long") + F.col("n_regionkey") - 1)).alias("pos"), "n_regionkey")
 
 
 @query("JOIN-08", f"""WITH r AS (SELECT event_id AS region_id, device_id, start_ns, end_ns FROM {_COMM}) SELECT e.event_id, min(r.region_id) AS region_id, count(r.region_id) AS regions FROM {EV} e LEFT JOIN r ON r.device_id = e.device_id AND e.start_ns BETWEEN r.start_ns AND r.end_ns GROUP BY e.event_id""")
@@ -265,12 +263,12 @@ def claimed_nearest(spark, sf):
     return R.greedy_pairs(met.withColumn("delta", F.abs(F.col("r_start_ns") - F.col("start_ns"))), ["device_id", "stream_id"], "launch", "wait", "delta")
 
 
-@query("JOIN-11", f"""WITH a AS (SELECT device_id, stream_id, event_id, row_number() OVER (PARTITION BY device_id, stream_id ORDER BY start_ns, event_id) AS k, count(*) OVER (PARTITION BY device_id, stream_id) AS n FROM {_COMM}),
- b AS (SELECT device_id, stream_id, event_id, row_number() OVER (PARTITION BY device_id, stream_id ORDER BY start_ns, event_id) AS k, count(*) OVER (PARTITION BY device_id, stream_id) AS n FROM {EV} WHERE symbol = '{WAIT}')
- SELECT a.device_id, a.stream_id, a.k AS ordinal, a.event_id AS left_id, b.event_id AS right_id FROM a JOIN b USING (device_id, stream_id, k, n)""")
+@query("JOIN-11", f"""WITH a AS (SELECT device_id, stream_id, event_id, row_number() OVER (PARTITION BY device_id, stream_id, day ORDER BY start_ns, event_id) AS k, count(*) OVER (PARTITION BY device_id, stream_id, day) AS n, day FROM (SELECT *, start_ns // 86400000000000 AS day FROM {_COMM})),
+ b AS (SELECT device_id, stream_id, event_id, row_number() OVER (PARTITION BY device_id, stream_id, day ORDER BY start_ns, event_id) AS k, count(*) OVER (PARTITION BY device_id, stream_id, day) AS n, day FROM (SELECT *, start_ns // 86400000000000 AS day FROM {EV} WHERE symbol = '{WAIT}'))
+ SELECT a.device_id, a.stream_id, a.day, a.k AS ordinal, a.event_id AS left_id, b.event_id AS right_id FROM a JOIN b USING (device_id, stream_id, day, k, n)""")
 def ordinal_fallback(spark, sf):
-    e = trace_event(spark, sf)
-    out = R.ordinal_pairs(e.where(F.col("symbol") == COMMUNICATION), e.where(F.col("symbol") == WAIT), ["device_id", "stream_id"], "event_id", ["start_ns", "event_id"], "event_id", ["start_ns", "event_id"])
+    e = trace_event(spark, sf).withColumn("day", F.expr("start_ns div 86400000000000"))
+    out = R.ordinal_pairs(e.where(F.col("symbol") == COMMUNICATION), e.where(F.col("symbol") == WAIT), ["device_id", "stream_id", "day"], "event_id", ["start_ns", "event_id"], "event_id", ["start_ns", "event_id"])
     return out.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
@@ -308,9 +306,9 @@ def semi(spark, sf):
     return table(spark, sf, "customer").join(has, "c_custkey", "left").select("c_custkey", F.coalesce("has", F.lit(False)).alias("supported"))
 
 
-@query("JOIN-18", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("JOIN-18", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("JOIN-19", "SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, (SELECT CAST(sum(l_quantity) AS BIGINT) FROM lineitem WHERE l_orderkey = o_orderkey) AS quantity, (SELECT max(l_discount) FROM lineitem WHERE l_orderkey = o_orderkey) AS discount FROM orders")
@@ -661,9 +659,9 @@ def union_distinct(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")).union(table(spark, sf, "supplier").select("s_nationkey")).distinct()
 
 
-@query("SET-04", "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 20")
+@query("SET-04", "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def difference(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id")).exceptAll(table(spark, sf, "lineitem").where("l_quantity > 20").select("l_partkey").distinct())
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id")).exceptAll(table(spark, sf, "lineitem").where("l_quantity > 48").select("l_partkey").distinct())
 
 
 @query("SET-05", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")

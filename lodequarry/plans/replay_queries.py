@@ -23,10 +23,10 @@ def exact_units(spark, sf):
     return P.exact_units(_bodies(spark, sf), "o_orderkey", "o_custkey", ["l_linenumber"], "l_returnflag")
 
 
-@query("REP-10", f"""WITH b AS (SELECT o_orderkey, o_orderkey % 40 AS graph, sha256(string_agg(l_returnflag, '>' ORDER BY l_linenumber, l_returnflag)) AS template FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 1 GROUP BY 1, 2), n AS (SELECT graph, count(DISTINCT template) AS k FROM b GROUP BY 1),
+@query("REP-10", f"""WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey - o_orderkey % 12 ELSE -o_orderkey END AS graph, sha256(string_agg(l_returnflag, '>' ORDER BY l_linenumber, l_returnflag)) AS template FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2), n AS (SELECT graph, count(DISTINCT template) AS k FROM b GROUP BY 1),
  s AS (SELECT graph, k, count(*) OVER (PARTITION BY template) AS r FROM b JOIN n USING (graph)) SELECT CASE WHEN k > 1 THEN 'several_bodies' WHEN r < 2 THEN 'few_repeats' ELSE 'exact' END AS state, count(*) AS launches FROM s GROUP BY 1""")
 def graph_replays(spark, sf):
-    x = _bodies(spark, sf).where("l_linenumber <= 1").withColumn("graph", F.col("o_orderkey") % 40)
+    x = _bodies(spark, sf).withColumn("graph", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey - o_orderkey % 12 ELSE -o_orderkey END"))
     return P.exact_units(x, "o_orderkey", "graph", ["l_linenumber"], "l_returnflag").groupBy("state").agg(F.count("*").alias("launches"))
 
 
@@ -41,11 +41,10 @@ def unit_costs(spark, sf):
     return P.unit_costs(table(spark, sf, "orders").select("o_orderkey", F.lit(4).alias("expected")), m, "o_orderkey", "expected")
 
 
-@query("REP-06", f"""WITH l AS (SELECT call_id, thread_id, process_id, start_ns, correlation_id, bool_and(correlation_id IS NOT NULL) OVER (PARTITION BY thread_id, process_id) AS whole FROM {RUNTIME_CALL} WHERE call_id % 97 = 0)
+@query("REP-06", f"""WITH l AS (SELECT call_id, thread_id, process_id, start_ns, correlation_id, bool_and(correlation_id IS NOT NULL) OVER (PARTITION BY thread_id, process_id) AS whole FROM {RUNTIME_CALL})
  SELECT call_id, row_number() OVER (PARTITION BY thread_id, process_id ORDER BY CASE WHEN whole THEN correlation_id ELSE start_ns END, call_id) - 1 AS position, CASE WHEN whole THEN 'host_submission' ELSE 'device_time' END AS order_basis FROM l""")
 def launch_order(spark, sf):
-    c = runtime_call(spark, sf).where("call_id % 97 = 0")
-    return P.chosen_order(c, ["thread_id", "process_id"], "correlation_id", "start_ns", "call_id").select("call_id", F.col("position").cast("long").alias("position"), "order_basis")
+    return P.chosen_order(runtime_call(spark, sf), ["thread_id", "process_id"], "correlation_id", "start_ns", "call_id").select("call_id", F.col("position").cast("long").alias("position"), "order_basis")
 
 
 @query("REP-12", f"""SELECT c.call_id AS launch_id, w.work_id AS member_id, row_number() OVER (PARTITION BY c.call_id ORDER BY w.start_ns, w.work_id, w.device_id) - 1 AS task_ordinal FROM {RUNTIME_CALL} c JOIN (SELECT l_orderkey * 8 + l_linenumber AS work_id, l_orderkey, l_suppkey % 4 AS device_id, epoch_us(l_shipdate) * 1000 AS start_ns FROM lineitem) w ON w.l_orderkey = c.call_id WHERE c.correlation_id IS NOT NULL""")

@@ -61,6 +61,33 @@ def write_perfetto(events: DataFrame, out: str, compress: bool = False, **names:
     lines.write.option("compression", "gzip" if compress else "none").text(out)
 
 
+def raw_lanes(tables: Mapping[str, tuple[DataFrame, str | None, str | None]]) -> DataFrame:
+    """Rows of raw provider tables as slices: lane, pid, tid (0 where the table has no such column), start_ns, end_ns, source (the row as JSON).
+
+    tables: name -> rows, column of the process, column of the thread. Start and end go by startNs and endNs, or start and end; rows without a start have no place and are left out."""
+    out = None
+    for name, (df, process, thread) in tables.items():
+        start, end = ("startNs", "endNs") if "startNs" in df.columns else ("start", "end")
+        at = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)) if c else F.lit(0).cast("long")
+        part = df.where(F.col(start).isNotNull()).select(F.lit(f"raw:{name}").alias("lane"), at(process).alias("pid"), at(thread).alias("tid"), F.col(start).cast("long").alias("start_ns"), F.col(end).cast("long").alias("end_ns"), F.to_json(F.struct(*df.columns)).alias("source"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no tables are given")
+    return out
+
+
+def clock_models(spark: SparkSession, path: str) -> DataFrame:
+    """Clock models of ranks from JSON lines (rank, slope_ppb, intercept_ns, reference_ns), as `aligned` takes them. ValueError on a line that is none, a rank that is missing or told twice."""
+    schema = "rank long, slope_ppb long, intercept_ns long, reference_ns long, bad string"
+    models = spark.read.schema(schema).option("columnNameOfCorruptRecord", "bad").json(path)
+    rows = models.collect()  # a row per rank
+    if any(r["bad"] is not None or any(r[c] is None for c in ("rank", "slope_ppb", "intercept_ns", "reference_ns")) for r in rows):
+        raise ValueError("a line is no clock model")
+    if len({r["rank"] for r in rows}) < len(rows):
+        raise ValueError("a rank has two clock models")
+    return spark.createDataFrame([tuple(r)[:4] for r in rows], "rank long, slope_ppb long, intercept_ns long, reference_ns long")
+
+
 def aligned(events: DataFrame, models: DataFrame, key: str) -> DataFrame:
     """Events of several ranks on one axis by an affine model per rank (slope_ppb, intercept_ns, reference_ns); a rank without a model starts at its first event."""
     first = events.groupBy(key).agg(F.min("start_ns").alias("_first"))

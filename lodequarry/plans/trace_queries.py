@@ -403,12 +403,12 @@ def unambiguous(spark, sf):
     return by_order.select("l_orderkey", "l_linenumber").unionByName(many.join(one, "l_suppkey", "left_semi").select("l_orderkey", "l_linenumber"))
 
 
-@query("CTX-10", f"""WITH w AS (SELECT event_id % 50 AS step_id, * FROM {EV} WHERE event_id % 50 < 40), p AS (SELECT *, max(end_ns) OVER (PARTITION BY step_id, device_id ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM w),
+@query("CTX-10", f"""WITH w AS (SELECT event_id % 50 AS step_id, * FROM {EV}), p AS (SELECT *, max(end_ns) OVER (PARTITION BY step_id, device_id ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM w),
  c AS (SELECT step_id, device_id, count(*) AS linked_work, CAST(sum(greatest(0, end_ns - greatest(start_ns, coalesce(prior, start_ns)))) AS BIGINT) AS union_ns, CAST(sum(end_ns - start_ns) AS BIGINT) AS sum_ns, max(end_ns) - min(start_ns) AS envelope_ns FROM p GROUP BY 1, 2)
- SELECT s.step_id, device_id, coalesce(linked_work, 0) AS linked_work, union_ns, sum_ns, envelope_ns FROM (SELECT unnest(range(0, 50)) AS step_id) s LEFT JOIN c USING (step_id)""")
+ SELECT s.step_id, device_id, coalesce(linked_work, 0) AS linked_work, union_ns, sum_ns, envelope_ns FROM (SELECT unnest(range(0, 60)) AS step_id) s LEFT JOIN c USING (step_id)""")
 def step_costs(spark, sf):
     e = trace_event(spark, sf).select((F.col("event_id") % 50).alias("step_id"), "device_id", F.col("event_id").alias("work_id"), "start_ns", "end_ns")
-    return C.step_costs(spark.range(50).select(F.col("id").alias("step_id")), e.where("step_id < 40"), ["step_id"])
+    return C.step_costs(spark.range(60).select(F.col("id").alias("step_id")), e, ["step_id"])
 
 
 def _span_events(spark, sf):
@@ -463,9 +463,9 @@ def locators(spark, sf):
     return table(spark, sf, "orders").join(c, "o_custkey", "left").select("o_orderkey", F.when(F.col("hit"), "embedded").when(F.col("o_orderstatus") == "P", "synthetic").otherwise("unresolved").alias("resolution"))
 
 
-@query("CTX-12", "SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@query("CTX-12", "SELECT l_orderkey + 3 AS locator FROM lineitem WHERE l_orderkey + 3 NOT IN (SELECT o_orderkey FROM orders)")
 def locator_check(spark, sf):
-    return table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").select("l_orderkey")
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") + 3).alias("locator")).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("locator")), "locator", "left_anti")
 
 
 @query("STR-04", "SELECT event_id, user_id FROM events")
@@ -474,9 +474,9 @@ def deduplicated(spark, sf):
     return e.unionByName(e.where("event_id % 3 = 0")).dropDuplicates(["event_id"])
 
 
-@query("STR-05", "SELECT conv_id, turn FROM conversations GROUP BY 1, 2 HAVING count(*) > 1")
+@query("STR-05", "SELECT conv_id, role FROM conversations GROUP BY 1, 2 HAVING count(*) > 1")
 def uniqueness(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1").select("conv_id", "turn")
+    return table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n")).where("n > 1").select("conv_id", "role")
 
 
 @query("SNK-11", f"""WITH d AS (SELECT *, count(*) OVER (PARTITION BY device_id, stream_id, start_ns, end_ns) AS n FROM {EV}) SELECT event_id, n > 1 AS folded FROM d""")

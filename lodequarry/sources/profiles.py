@@ -63,6 +63,19 @@ def evidence(folder: str) -> tuple[str, list[str]]:
     return ("complete" if not lacking else "absent" if len(lacking) == len(SPLIT_PARTS) else "partial"), lacking
 
 
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """part, table, schema, n: the tables of a split profile's databases, with their statements and row counts; files that are no database are left out."""
+    rows = []
+    for p in sorted(Path(folder).rglob("*.db")):
+        try:
+            with sqlite3.connect(f"file:{p}?mode=ro", uri=True) as c:
+                for name, text in c.execute("SELECT name, sql FROM sqlite_master WHERE type = 'table' ORDER BY name").fetchall():
+                    rows.append((str(p.relative_to(folder)), name, text, c.execute(f'SELECT count(*) FROM "{name}"').fetchone()[0]))
+        except sqlite3.DatabaseError:
+            continue
+    return spark.createDataFrame(rows, "part string, `table` string, schema string, n long")
+
+
 _TYPES = {"INTEGER": "long", "INT": "long", "BIGINT": "long", "REAL": "double", "NUMERIC": "double"}
 
 
