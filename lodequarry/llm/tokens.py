@@ -52,7 +52,7 @@ class TextEncoder:
     most often stay, up to half of it. A vocabulary that splits otherwise is given whole texts.
     """
 
-    def __init__(self, vocabulary: str, most: int = 128 << 20) -> None:
+    def __init__(self, vocabulary: str, most: int = 192 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -189,7 +189,7 @@ class TextEncoder:
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(vocabulary: str, most: int = 128 << 20) -> TextEncoder:
+def encoder(vocabulary: str, most: int = 192 << 20) -> TextEncoder:
     """This worker's encoder; kept from task to task, until an operator that needs none runs here."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = TextEncoder(vocabulary)
