@@ -31,3 +31,27 @@ def test_stages_take_effect_and_keep_the_columns(spark, tmp_path):
 
 def test_every_dealt_operator_has_a_query():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_stages_keep_columns_whose_names_operators_use_and_empty_tables(spark, tmp_path):
+    extra = "n_words int, kept string, size int, copies int, taken string, target int, copy int, base_failed string, source_size int, node string"
+    own = (-5, "mine", -7, -1, "t", -2, -3, "b", -4, "n")
+    rows = [(k, words(k, 120 + k), "en", f"s{k % 2}", *own) for k in range(6)] + [(9, None, None, None, *own)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {extra}")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() and all(tuple(r)[4:] == own for r in out.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lodequarry.llm import shared
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared.scratch_root(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
