@@ -1,13 +1,14 @@
 """An adaptive range coder for token ids that mixes predictions of order 0, 1 and 2; one block is coded on its own.
 
 The ids of a block are dealt into lanes, each a run of neighbouring ids; at every step all lanes code one id with the same model,
-which then learns from all of them, so that each operation works on a whole vector. For an id the model offers
-  - the id that last followed the two ids before it (order 2, by a table of hashed pairs),
-  - the id that last followed the id before it (order 1),
-  - and a distribution over all ids by their counts so far in the block (order 0).
-Orders 1 and 2 carry a confidence of 0 to 7 that rises when they are right and falls, until the prediction is replaced, when they are wrong.
-The mixture's weights depend on both confidences and on whether the predictions agree; they are the hit rates
-met so far in that state, so the state learns how far each order can be trusted.
+so that each operation works on a whole vector. All that the model knows it learnt from the ids coded before:
+  - order 2: by the two ids before (hashed), all ids that followed at least twice, with their counts,
+  - order 1: the same by the one id before,
+  - order 0: the counts of all ids.
+The mixture gives each order a share of the interval. The shares depend on a state, which is how much of what followed both contexts so far their
+kept ids cover, and are the rates at which the orders were used in that state. An id that several orders offer is coded by the one that gives it most.
+Shares and order 0 are renewed when the ids coded have doubled, from 1,024 on, and at least some 32,768 ids apart; orders 1 and 2 when they have
+grown fourfold. So the work stays in proportion to the ids.
 """
 
 from __future__ import annotations
@@ -17,47 +18,125 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"LQR1"
+MAGIC = b"LQR2"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, alphabet, lanes, steps, crc32 of the ids, crc32 of what follows
 _TOTAL = 26  # bits of the interval that is divided for one id
 _LEAST = 1 << 20  # of it order 0 gets at least this
-_PAIRS = 18  # bits of the table of hashed pairs
+_FEWEST = 1 << 17  # and each other order this
+_ID = 18  # bits of an id
+_SCALE = 20  # bits that the followers of a context divide
 _U = np.uint64
 _T = _U(_TOTAL)
+_S = _U(_SCALE)
 _LOW32 = _U(1 << 32)
 _32 = _U(32)
+_GROWTH = 4  # orders 1 and 2 are learnt anew when the ids coded have grown by this
+_SEEN = 2  # times a pair must have been coded to be offered
 
 
 class CorruptBlock(ValueError):
     """A block whose checksum or shape is wrong."""
 
 
+class _Followers:
+    """The ids that followed each context, as sorted pairs context << _ID | id with cumulative shares of 1 << _SCALE, and each context's level of 0 (unseen) to 7.
+
+    Pairs coded less than _SEEN times are not kept."""
+
+    def __init__(self, contexts: int) -> None:
+        self.contexts = contexts
+        self.slot = None  # where each known pair is kept, -1: nowhere; nothing is learnt so far
+        self.level = np.zeros(contexts, np.int8)
+
+    def learn(self, pair: np.ndarray, count: np.ndarray) -> None:
+        """From sorted different pairs and how often each was coded; 0 for pairs still to come."""
+        context = pair >> _ID
+        seen = np.bincount(context, count + (count > 0), self.contexts).astype(np.int64)  # ids that followed, and different ones
+        kept = count >= _SEEN
+        pair, count, context = pair[kept], count[kept], context[kept]
+        total = np.bincount(context, count, self.contexts).astype(np.int64)
+        self.level = np.where(total > 0, 1 + np.minimum(6, total * 7 // np.maximum(seen, 1)), 0).astype(np.int8)
+        before = np.cumsum(count) - count - (np.cumsum(total) - total)[context]
+        whole = total[context]
+        start = (before << _SCALE) // whole
+        self.pair, self.below = pair, (context << _SCALE) + start
+        self.start, self.above = start.astype(_U), (((before + count) << _SCALE) // whole).astype(_U)
+        self.slot = np.where(kept, np.cumsum(kept) - 1, -1)
+
+    def place(self, slot: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pairs of these slots lie in their context's share of the interval, and how much they get there."""
+        lo = (share * self.start[slot]) >> _S
+        return lo, ((share * self.above[slot]) >> _S) - lo
+
+    def find(self, context: np.ndarray, value: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose part of the share holds the value, where that part begins, and its size."""
+        if self.slot is None or not len(self.pair):
+            raise CorruptBlock("a block uses a prediction that nothing made")
+        goal = ((((value + _U(1)) << _S) - _U(1)) // share).astype(np.int64)
+        at = np.searchsorted(self.below, (context << _SCALE) + goal, "right") - 1
+        lo = (share * self.start[at]) >> _S
+        return self.pair[at] & ((1 << _ID) - 1), lo, ((share * self.above[at]) >> _S) - lo
+
+
 class _Model:
-    """State common to both directions; everything in it follows from the ids coded before."""
+    """State common to both directions; everything in it follows from the rows of the grid (a step each) coded before."""
 
-    def __init__(self, alphabet: int, lanes: int) -> None:
-        self.alphabet, self.lanes = alphabet, lanes
-        self.bits = max(_PAIRS, alphabet.bit_length() + 2)
+    def __init__(self, n: int, alphabet: int, grid: np.ndarray) -> None:
+        self.alphabet, self.grid = alphabet, grid
+        self.lanes = grid.shape[1]
+        self.bits = max(18, alphabet.bit_length() + 2)
         if self.bits > 20:
             raise ValueError("ids must be below 2**18")
-        self.every = max(1, 32768 // lanes)
-        self.one = np.zeros(alphabet, np.int32)  # prediction * 8 + confidence
-        self.two = np.zeros(1 << _PAIRS, np.int32)
+        self.pairs = min(17, max(8, n.bit_length() - 2))
+        self.one, self.two = _Followers(alphabet), _Followers(1 << self.pairs)
         self.count = np.zeros(alphabet, np.int64)
-        self.seen = np.zeros((128, 3), np.float64)  # by state: neither, order 2, order 1 was right
-        self.ids: list[np.ndarray] = []
-        self.states: list[np.ndarray] = []
-        self.last = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.used = np.zeros((64, 3), np.float64)  # by state: coded by order 0, 1, 2
+        self.learnt, self.next = 0, 1 << 10
         self._weigh()
 
+    def until(self) -> int:
+        """The row before which the model stays as it is."""
+        return min(len(self.grid), self.learnt + max(1, min(32768, max(1024, self.learnt * self.lanes)) // self.lanes))
+
+    def contexts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The hashed pair of the id before and the one before that."""
+        return ((b * 0x2C1B3C6D + a * 0x297A2D39) >> 11) & ((1 << self.pairs) - 1)
+
+    def before(self, start: int, end: int, back: int) -> np.ndarray:
+        """Of rows start to end, the ids that many steps before; 0 before the first."""
+        out = np.zeros((end - start, self.lanes), np.int64)
+        skip = max(0, back - start)
+        if skip < end - start:
+            out[skip:] = self.grid[start + skip - back : end - back]
+        return out
+
+    def learn(self, end: int, states: np.ndarray, orders: np.ndarray, known=None) -> None:
+        """Rows up to `end` are coded, the new ones in these states by these orders. known: of the whole grid's pairs, by order, the different ones and which each id's is."""
+        self.count += 16 * np.bincount(self.grid[self.learnt : end].reshape(-1), minlength=self.alphabet)
+        if self.count.sum() > 1 << 24:
+            self.count >>= 1
+        self.used += np.bincount(states * 3 + orders, minlength=192).reshape(64, 3)
+        self.learnt = end
+        if end * self.lanes >= self.next:
+            self.next = _GROWTH * end * self.lanes
+            for k, followers in enumerate((self.one, self.two)):
+                if known:
+                    pair, which = known[k]
+                    followers.learn(pair, np.bincount(which[: end * self.lanes], minlength=len(pair)))
+                else:
+                    keys = self.keys(end)[k]
+                    keys.sort()
+                    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                    followers.learn(keys[at], np.diff(np.append(at, len(keys))))
+            self.used *= 0.25  # the states mean something else now
+        self._weigh()
+
+    def keys(self, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of orders 1 and 2 of the ids of the rows before `end`."""
+        ids, a = self.grid[:end], self.before(0, end, 1)
+        return ((a << _ID) | ids).reshape(-1), ((self.contexts(a, self.before(0, end, 2)) << _ID) | ids).reshape(-1)
+
     def _weigh(self) -> None:
-        if self.ids:
-            self.count += 16 * np.bincount(np.concatenate(self.ids), minlength=self.alphabet)
-            if self.count.sum() > 1 << 24:
-                self.count >>= 1
-            self.seen += np.bincount(np.concatenate(self.states), minlength=384).reshape(128, 3)
-            self.ids, self.states = [], []
         share = np.zeros(self.alphabet + 1, np.int64)
         np.cumsum(self.count, out=share[1:])
         if share[-1]:
@@ -65,29 +144,10 @@ class _Model:
         else:
             share = np.arange(self.alphabet + 1) * ((1 << self.bits) - self.alphabet) // self.alphabet
         self.below = (share + np.arange(self.alphabet + 1)).astype(_U)  # ids below each, of 1 << bits
-        n = self.seen.sum(1) + 1.2
-        room = (1 << _TOTAL) - _LEAST
-        self.by_two = np.maximum(1, (self.seen[:, 1] + 0.4) / n * room).astype(np.int64).astype(_U)
-        self.by_one = np.maximum(1, (self.seen[:, 2] + 0.4) / n * room).astype(np.int64).astype(_U)
-        self.by_two, self.by_one = np.minimum(self.by_two, _U(room - 1)), np.minimum(self.by_one, _U(room) - np.minimum(self.by_two, _U(room - 1)))
-
-    def offer(self):
-        """Predictions of orders 2 and 1, the state, and the room of each; and where the pair is kept."""
-        at = ((self.last2 * 0x2C1B3C6D + self.last * 0x297A2D39) >> 11) & ((1 << _PAIRS) - 1)
-        two, one = self.two[at], self.one[self.last]
-        p2, p1 = two >> 3, one >> 3
-        state = ((two & 7) << 4) | ((one & 7) << 1) | (p2 == p1)
-        return at, two, one, p2, p1, state, self.by_two[state], self.by_one[state]
-
-    def learn(self, ids, at, two, one, is2, is1, state) -> None:
-        fresh = (ids << 3).astype(np.int32)
-        self.two[at] = np.where(is2, two + ((two & 7) < 7), np.where((two & 7) > 0, two - 1, fresh))
-        self.one[self.last] = np.where(is1, one + ((one & 7) < 7), np.where((one & 7) > 0, one - 1, fresh))
-        self.ids.append(ids)
-        self.states.append(state * 3 + is2 + 2 * (is1 & ~is2))
-        self.last2, self.last = self.last, ids
-        if len(self.ids) >= self.every:
-            self._weigh()
+        rate = (self.used + 0.4) / (self.used.sum(1, keepdims=True) + 1.2)
+        room = (1 << _TOTAL) - _LEAST - 2 * _FEWEST
+        shares = (rate[:, 1:] * room).astype(np.int64) + _FEWEST
+        self.share1, self.share2 = shares[:, 0].astype(_U), shares[:, 1].astype(_U)
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -97,6 +157,46 @@ def _shape(n: int) -> tuple[int, int]:
     return (-(-n // steps), steps) if n else (1, 0)
 
 
+def _intervals(model: _Model, start: int, end: int, known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows start to end: where each id's interval begins, its size, the state it is coded in and the order."""
+    ids, part = model.grid[start:end].reshape(-1), slice(start * model.lanes, end * model.lanes)
+    which = [w[part] for _, w in known]
+    levels = [followers.level[pair[w] >> _ID] for followers, (pair, _), w in zip((model.one, model.two), known, which)]
+    state = levels[1].astype(np.int64) * 8 + levels[0]
+    share1, share2 = model.share1[state], model.share2[state]
+    rest, bits = _U(1 << _TOTAL) - share1 - share2, _U(model.bits)
+    lo = (rest * model.below[ids]) >> bits
+    size = ((rest * model.below[ids + 1]) >> bits) - lo
+    lo += share1 + share2
+    order = np.zeros(len(ids), np.int64)
+    if model.one.slot is not None:
+        for k, followers, share, base in ((1, model.one, share1, share2), (2, model.two, share2, None)):
+            slot = followers.slot[which[k - 1]]
+            some = np.flatnonzero(slot >= 0)
+            at, much = followers.place(slot[some], share[some])
+            better = much > size[some]
+            some, at, much = some[better], at[better], much[better]
+            lo[some] = at if base is None else at + base[some]
+            size[some], order[some] = much, k
+    return lo, size, state, order
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and which of them each is."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    if len(keys) and int(keys.max()).bit_length() + bits < 64:  # sorted together with their places
+        both = (keys << bits) | np.arange(len(keys))
+        both.sort()
+        place, both = both & ((1 << bits) - 1), both >> bits
+    else:
+        place = np.argsort(keys, kind="stable")
+        both = keys[place]
+    new = np.concatenate(([True], both[1:] != both[:-1]))
+    which = np.empty(len(keys), np.int32)
+    which[place] = np.cumsum(new) - 1
+    return both[new], which
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A block of at most 2**31 ids below 2**18."""
     n = len(ids)
@@ -104,34 +204,27 @@ def encode(ids: np.ndarray) -> bytes:
     alphabet = int(ids.max()) + 1 if n else 1
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = _Model(alphabet, lanes)
+    model = _Model(n, alphabet, np.ascontiguousarray(grid.reshape(lanes, steps).T))
+    known = [_ranked(k) for k in model.keys(steps)] if n else []
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     words, used = np.zeros((steps + 2, lanes), _U), np.zeros(lanes, np.int64)
-    full, bits = _U(1 << _TOTAL), _U(model.bits)
-    for row in grid:
-        at, two, one, p2, p1, state, w2, w1 = model.offer()
-        is2, is1 = p2 == row, p1 == row
-        rest = full - w2 - w1
-        lo = (rest * model.below[row]) >> bits
-        size = ((rest * model.below[row + 1]) >> bits) - lo
-        lo += w2 + w1
-        from1 = is1 & ~is2
-        lo = np.where(is2, _U(0), np.where(from1, w2, lo))
-        size = np.where(is2, w2, np.where(from1, w1, size))
-        unit = span >> _T
-        new = low + unit * lo
-        over = np.flatnonzero(new < low)
-        if len(over):  # the carry; a word may hold more than 32 bits until the end
-            words[used[over] - 1, over] += _U(1)
-        low, span = new, unit * size
-        out = np.flatnonzero(span < _LOW32)
-        if len(out):
-            words[used[out], out] = low[out] >> _32
-            used[out] += 1
-            low[out] <<= _32
-            span[out] <<= _32
-        model.learn(row, at, two, one, is2, is1, state)
+    while model.learnt < steps:
+        start, end = model.learnt, model.until()
+        los, sizes, states, orders = _intervals(model, start, end, known)
+        for lo, size in zip(los.reshape(-1, lanes), sizes.reshape(-1, lanes)):
+            unit = span >> _T
+            new = low + unit * lo
+            over = np.flatnonzero(new < low)
+            if len(over):  # the carry; a word may hold more than 32 bits until the end
+                words[used[over] - 1, over] += _U(1)
+            low, span = new, unit * size
+            out = np.flatnonzero(span < _LOW32)
+            if len(out):
+                words[used[out], out] = low[out] >> _32
+                used[out] += 1
+                low[out] <<= _32
+                span[out] <<= _32
+        model.learn(end, states, orders, known)
     lane = np.arange(lanes)
     words[used, lane], words[used + 1, lane] = low >> _32, low & _U(0xFFFFFFFF)
     used += 2
@@ -157,40 +250,49 @@ def decode(block: bytes) -> np.ndarray:
     used = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     words = np.append(np.frombuffer(body, "<u4", offset=4 * lanes), 0).astype(_U)
     at_word = np.cumsum(used) - used
-    model = _Model(alphabet, lanes)
+    grid = np.empty((steps, lanes), np.int64)
+    model = _Model(n, alphabet, grid)
     span = np.full(lanes, (1 << 64) - 1, _U)
     code = (words[at_word] << _32) | words[at_word + 1]
     at_word = at_word + 2
-    grid = np.empty((steps, lanes), np.int64)
     full, bits, top = _U(1 << _TOTAL), _U(model.bits), _U((1 << _TOTAL) - 1)
-    table, below = None, None
-    for step in range(steps):
-        at, two, one, p2, p1, state, w2, w1 = model.offer()
-        if below is not model.below:
-            below = model.below
-            table = np.repeat(np.arange(alphabet), np.diff(below.astype(np.int64)))
-        unit = span >> _T
-        value = np.minimum(code // unit, top)
-        both = w2 + w1
-        from2 = value < w2
-        from0 = value >= both
-        rest = full - both
-        inner = np.where(from0, value - both, _U(0))
-        found = table[np.minimum((((inner + _U(1)) << bits) - _U(1)) // rest, _U(len(table) - 1))]
-        row = np.where(from0, found, np.where(from2, p2, p1)).astype(np.int64)
-        lo = (rest * below[row]) >> bits
-        size = ((rest * below[row + 1]) >> bits) - lo
-        lo = np.where(from2, _U(0), np.where(from0, lo + both, w2))
-        size = np.where(from2, w2, np.where(from0, size, w1))
-        code -= unit * lo
-        span = unit * size
-        more = np.flatnonzero(span < _LOW32)
-        if len(more):
-            code[more] = (code[more] << _32) | words[at_word[more]]
-            at_word[more] += 1
-            span[more] <<= _32
-        grid[step] = row
-        model.learn(row, at, two, one, p2 == row, p1 == row, state)
+    a = b = np.zeros(lanes, np.int64)
+    while model.learnt < steps:
+        start, end = model.learnt, model.until()
+        table = np.repeat(np.arange(alphabet), np.diff(model.below.astype(np.int64)))
+        states, orders = [], []
+        for step in range(start, end):
+            pair = model.contexts(a, b)
+            state = model.two.level[pair].astype(np.int64) * 8 + model.one.level[a]
+            share1, share2 = model.share1[state], model.share2[state]
+            unit = span >> _T
+            value = np.minimum(code // unit, top)
+            both = share1 + share2
+            order = np.where(value < share2, 2, np.where(value < both, 1, 0))
+            row, lo, size = np.empty(lanes, np.int64), np.empty(lanes, _U), np.empty(lanes, _U)
+            if len(k := np.flatnonzero(order == 0)):
+                rest = full - both[k]
+                row[k] = found = table[np.minimum((((value[k] - both[k] + _U(1)) << bits) - _U(1)) // rest, _U(len(table) - 1))]
+                lo[k] = begin = (rest * model.below[found]) >> bits
+                size[k] = ((rest * model.below[found + 1]) >> bits) - begin
+                lo[k] += both[k]
+            if len(k := np.flatnonzero(order == 1)):
+                row[k], lo[k], size[k] = model.one.find(a[k], value[k] - share2[k], share1[k])
+                lo[k] += share2[k]
+            if len(k := np.flatnonzero(order == 2)):
+                row[k], lo[k], size[k] = model.two.find(pair[k], value[k], share2[k])
+            code -= unit * lo
+            span = unit * size
+            more = np.flatnonzero(span < _LOW32)
+            if len(more):
+                code[more] = (code[more] << _32) | words[at_word[more]]
+                at_word[more] += 1
+                span[more] <<= _32
+            grid[step] = row
+            a, b = row, a
+            states.append(state)
+            orders.append(order)
+        model.learn(end, np.concatenate(states), np.concatenate(orders))
     ids = grid.T.reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids) != ids_crc:
         raise CorruptBlock("a block does not give the ids it was made of")

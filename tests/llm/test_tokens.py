@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +55,23 @@ def test_coder_adapts_and_detects_changes():
         rangecoder.decode(block[:10])
 
 
+def test_coder_mixes_orders_well_below_order_zero(encoder):
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    x = encoder.encode(texts, 0)[0].astype(np.int64)
+    share = np.bincount(x)[np.unique(x)] / len(x)
+    block = rangecoder.encode(x)
+    assert (rangecoder.decode(block) == x).all()
+    assert 8 * len(block) / len(x) < 0.87 * -(share * np.log2(share)).sum()
+
+
+@pytest.mark.parametrize("n", (1, 2, 255, 1023, 1025, 4097, 70_000))
+def test_coder_round_trip_over_what_it_learns(n):
+    rng = np.random.default_rng(n)
+    x = np.cumsum(rng.integers(0, 3, n)) * 37 % 50_000  # what follows depends on the id before
+    block = rangecoder.encode(x)
+    assert (rangecoder.decode(block) == x).all()
+
+
 def test_files_hold_documents_in_order(spark, docs, nothing, encoder, tmp_path):
     tokenfiles.write(docs, str(tmp_path / "f"), block=700)
     got = tokenfiles.read(spark, str(tmp_path / "f"), with_ids=True).orderBy("start").collect()
