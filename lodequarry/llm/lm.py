@@ -81,25 +81,39 @@ def _counter(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(bucket[at].astype(np.int32)), pa.array(c)], ["h", "bucket", "c"])
 
 
+def most_frequent(counts: DataFrame, most: int, least: int):
+    """The most frequent words as an Arrow table (h, bucket, c), the most frequent first: at most `most`, the words of a cell of counts all or none, but `least` in any case.
+
+    A count's place is found by a histogram of at most 64 cells an octave, so only the words told leave the tasks, not `most` of each."""
+    cell = F.floor(F.log2("c") * 64)
+    room, cut = most, None
+    for r in sorted(counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["cell"]):
+        if r["n"] > room:
+            break
+        room, cut = room - r["n"], r["cell"]
+    if cut is None or most - room < least:
+        return counts.orderBy(F.desc("c"), "h").limit(least).toArrow()
+    return counts.where(cell >= cut).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+
+
 def gather(training: DataFrame, shape: Shape) -> tuple[DataFrame, Words]:
-    """Counts of all words of the training texts (h, bucket, c), and what tasks are told of them. The driver gets shape.known rows and a row per bucket."""
+    """Counts of all words of the training texts (h, bucket, c), and what tasks are told of them. The driver gets shape.known rows at most and a row per bucket, as Arrow."""
     counts = training.select("text").mapInArrow(_counter, "h long, bucket int, c long").groupBy("h").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"))
     counts = shared.staged(counts, "word-counts")
     ends = training.count()
-    top = counts.orderBy(F.desc("c"), "h").limit(shape.known).collect()
+    top = most_frequent(counts, shape.known, shape.words)
     per_bucket = {r["bucket"]: (r["n"], r["v"]) for r in counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    h = np.array([r["h"] for r in top], np.int64)
-    c = np.array([r["c"] for r in top], np.int64)
-    own = min(shape.words, len(top))
+    h, bucket, c = (top.column(k).to_numpy().astype(np.int64) for k in ("h", "bucket", "c"))
+    own = min(shape.words, len(h))
     first = 1 + shape.words
-    classes = np.array([first + r["bucket"] for r in top], np.int64)
+    classes = first + bucket
     classes[:own] = 1 + np.arange(own)
     n_b, v_b = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, (n, v) in per_bucket.items():
         n_b[b], v_b[b] = n, v
     for k in range(own):
-        n_b[top[k]["bucket"]] -= c[k]
-        v_b[top[k]["bucket"]] -= 1
+        n_b[bucket[k]] -= c[k]
+        v_b[bucket[k]] -= 1
     total = int(sum(n for n, _ in per_bucket.values()))
     unigram = np.ones(shape.classes) * 0.5
     unigram[END] += ends
@@ -247,10 +261,10 @@ def fitted(training: DataFrame, words: Words, shape: Shape, told) -> np.ndarray:
     flat = Model(shape, words).flat
     eighth = training.where(F.pmod(F.xxhash64(F.lit(shape.seed), "text"), F.lit(8)) == 0)
     for part in (eighth, training):
-        got = part.select("text").mapInArrow(_trainer(shape, told, flat), "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-        if got:
+        got = part.select("text").mapInArrow(_trainer(shape, told, flat), "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
+        if len(got):
             flat = np.zeros(len(flat), np.float32)
-            flat[[r["k"] for r in got]] = [r["x"] for r in got]
+            flat[got.column("k").to_numpy()] = got.column("x").to_numpy()
     return flat
 
 
