@@ -8,7 +8,7 @@ so that each operation works on a whole vector. All that the model knows it lear
 The mixture gives each order a share of the interval. The shares depend on a state, which is how much of what followed both contexts so far their
 kept ids cover, and are the rates at which the orders were used in that state. An id that several orders offer is coded by the one that gives it most.
 Shares and order 0 are renewed when the ids coded have doubled, from 1,024 on, and at least some 32,768 ids apart; orders 1 and 2 when they have
-grown fourfold. So the work stays in proportion to the ids.
+grown eightfold. So the work stays in proportion to the ids.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ _T = _U(_TOTAL)
 _S = _U(_SCALE)
 _LOW32 = _U(1 << 32)
 _32 = _U(32)
-_GROWTH = 4  # orders 1 and 2 are learnt anew when the ids coded have grown by this
+_LOW = _U(0xFFFFFFFF)
+_GROWTH = 8  # orders 1 and 2 are learnt anew when the ids coded have grown by this
 _SEEN = 2  # times a pair must have been coded to be offered
 
 
@@ -45,11 +46,11 @@ class _Followers:
 
     def __init__(self, contexts: int) -> None:
         self.contexts = contexts
-        self.slot = None  # where each known pair is kept, -1: nowhere; nothing is learnt so far
+        self.pair = self.all = None  # nothing is learnt so far
         self.level = np.zeros(contexts, np.int8)
 
-    def learn(self, pair: np.ndarray, count: np.ndarray) -> None:
-        """From sorted different pairs and how often each was coded; 0 for pairs still to come."""
+    def learn(self, pair: np.ndarray, count: np.ndarray, sparse: bool) -> None:
+        """From sorted different pairs and how often each was coded; 0 for pairs still to come. sparse: only `find` will be asked."""
         context = pair >> _ID
         seen = np.bincount(context, count + (count > 0), self.contexts).astype(np.int64)  # ids that followed, and different ones
         kept = count >= _SEEN
@@ -60,22 +61,26 @@ class _Followers:
         whole = total[context]
         start = (before << _SCALE) // whole
         self.pair, self.below = pair, (context << _SCALE) + start
-        self.start, self.above = start.astype(_U), (((before + count) << _SCALE) // whole).astype(_U)
-        self.slot = np.where(kept, np.cumsum(kept) - 1, -1)
+        self.edges = (start << 32 | ((before + count) << _SCALE) // whole).astype(_U)
+        if not sparse:
+            self.all = np.zeros(len(kept), _U)
+            self.all[kept] = self.edges
 
-    def place(self, slot: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the pairs of these slots lie in their context's share of the interval, and how much they get there."""
-        lo = (share * self.start[slot]) >> _S
-        return lo, ((share * self.above[slot]) >> _S) - lo
+    def place(self, which: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where these pairs, as numbered when learnt, lie in their context's share of the interval, and how much they get there; 0 if they are not kept."""
+        edges = self.all[which]
+        lo = (share * (edges >> _32)) >> _S
+        return lo, ((share * (edges & _LOW)) >> _S) - lo
 
     def find(self, context: np.ndarray, value: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose part of the share holds the value, where that part begins, and its size."""
-        if self.slot is None or not len(self.pair):
+        if self.pair is None or not len(self.pair):
             raise CorruptBlock("a block uses a prediction that nothing made")
         goal = ((((value + _U(1)) << _S) - _U(1)) // share).astype(np.int64)
         at = np.searchsorted(self.below, (context << _SCALE) + goal, "right") - 1
-        lo = (share * self.start[at]) >> _S
-        return self.pair[at] & ((1 << _ID) - 1), lo, ((share * self.above[at]) >> _S) - lo
+        edges = self.edges[at]
+        lo = (share * (edges >> _32)) >> _S
+        return self.pair[at] & ((1 << _ID) - 1), lo, ((share * (edges & _LOW)) >> _S) - lo
 
 
 class _Model:
@@ -91,7 +96,7 @@ class _Model:
         self.one, self.two = _Followers(alphabet), _Followers(1 << self.pairs)
         self.count = np.zeros(alphabet, np.int64)
         self.used = np.zeros((64, 3), np.float64)  # by state: coded by order 0, 1, 2
-        self.learnt, self.next = 0, 1 << 10
+        self.learnt, self.next = 0, max(1 << 10, n >> 8)
         self._weigh()
 
     def until(self) -> int:
@@ -117,17 +122,17 @@ class _Model:
             self.count >>= 1
         self.used += np.bincount(states * 3 + orders, minlength=192).reshape(64, 3)
         self.learnt = end
-        if end * self.lanes >= self.next:
+        if end * self.lanes >= self.next and end < len(self.grid):
             self.next = _GROWTH * end * self.lanes
             for k, followers in enumerate((self.one, self.two)):
                 if known:
                     pair, which = known[k]
-                    followers.learn(pair, np.bincount(which[: end * self.lanes], minlength=len(pair)))
+                    followers.learn(pair, np.bincount(which[: end * self.lanes], minlength=len(pair)), False)
                 else:
                     keys = self.keys(end)[k]
                     keys.sort()
                     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                    followers.learn(keys[at], np.diff(np.append(at, len(keys))))
+                    followers.learn(keys[at], np.diff(np.append(at, len(keys))), True)
             self.used *= 0.25  # the states mean something else now
         self._weigh()
 
@@ -159,25 +164,21 @@ def _shape(n: int) -> tuple[int, int]:
 
 def _intervals(model: _Model, start: int, end: int, known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows start to end: where each id's interval begins, its size, the state it is coded in and the order."""
-    ids, part = model.grid[start:end].reshape(-1), slice(start * model.lanes, end * model.lanes)
-    which = [w[part] for _, w in known]
-    levels = [followers.level[pair[w] >> _ID] for followers, (pair, _), w in zip((model.one, model.two), known, which)]
-    state = levels[1].astype(np.int64) * 8 + levels[0]
+    ids, a, part = model.grid[start:end].reshape(-1), model.before(start, end, 1).reshape(-1), slice(start * model.lanes, end * model.lanes)
+    pair = model.contexts(a, model.before(start, end, 2).reshape(-1))
+    state = model.two.level[pair].astype(np.int64) * 8 + model.one.level[a]
     share1, share2 = model.share1[state], model.share2[state]
     rest, bits = _U(1 << _TOTAL) - share1 - share2, _U(model.bits)
     lo = (rest * model.below[ids]) >> bits
     size = ((rest * model.below[ids + 1]) >> bits) - lo
     lo += share1 + share2
     order = np.zeros(len(ids), np.int64)
-    if model.one.slot is not None:
-        for k, followers, share, base in ((1, model.one, share1, share2), (2, model.two, share2, None)):
-            slot = followers.slot[which[k - 1]]
-            some = np.flatnonzero(slot >= 0)
-            at, much = followers.place(slot[some], share[some])
-            better = much > size[some]
-            some, at, much = some[better], at[better], much[better]
-            lo[some] = at if base is None else at + base[some]
-            size[some], order[some] = much, k
+    if model.one.all is not None:
+        for k, followers, share in ((1, model.one, share1), (2, model.two, share2)):
+            at, much = followers.place(known[k - 1][1][part], share)
+            better = np.flatnonzero(much > size)
+            lo[better] = at[better] + share2[better] if k == 1 else at[better]
+            size[better], order[better] = much[better], k
     return lo, size, state, order
 
 
