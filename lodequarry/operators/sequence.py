@@ -32,12 +32,14 @@ def ngrams(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol: str
     return each.select(*keys, "first_pos", (F.col("first_pos") + F.col("length") - 1).alias("last_pos"), "length", F.array_join(F.slice("_ahead", 1, F.col("length")), ">").alias("gram"))
 
 
-def violations(grams: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+def violations(grams: DataFrame, intervals: DataFrame, keys: Sequence[str], width: int = 256) -> DataFrame:
     """grams with `violates`: the first protected interval (interval_id, first_token, last_token, policy) that an occurrence breaks, null if none.
 
-    no_cross: an occurrence may lie inside or outside, not cut or enclose; allow_enclosing: it may enclose as well; block_any_overlap: it must not overlap at all."""
-    i = intervals.select(*keys, "interval_id", "first_token", "last_token", "policy")
-    met = grams.join(F.broadcast(i) if not keys else i, list(keys), "left") if keys else grams.join(i, F.lit(True), "left")
+    no_cross: an occurrence may lie inside or outside, not cut or enclose; allow_enclosing: it may enclose as well; block_any_overlap: it must not overlap at all.
+    Occurrences meet only the intervals that touch one of their stretches of `width` positions."""
+    stretch = lambda first, last: F.explode(F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width)))
+    i = intervals.select(*keys, "interval_id", "first_token", "last_token", "policy").where("first_token <= last_token").withColumn("_bin", stretch("first_token", "last_token"))
+    met = grams.withColumn("_bin", stretch("first_pos", "last_pos")).join(i, [*keys, "_bin"], "left")
     a, b, s, e = (F.col(c) for c in ("first_pos", "last_pos", "first_token", "last_token"))
     overlap = (a <= e) & (b >= s)
     inside, around = (a >= s) & (b <= e), (a <= s) & (b >= e)
@@ -66,19 +68,32 @@ def periodic_suffix(ids: Sequence, least: int = 2) -> tuple[int, int, int, int]
     n, best = len(ids), None
     if least < 2:
         return None
+    alike = _prefixes(ids[::-1])  # how far the sequence, read from its end, equals itself a period later
     for p in range(1, n // least + 1):
-        k = n - 1
-        while k >= p and ids[k] == ids[k - p]:
-            k -= 1
-        start = k - p + 1 if k >= p else 0
-        repeats, rest = divmod(n - start, p)
+        length = alike[p] + p
+        repeats, rest = divmod(length, p)
         if repeats >= least:
-            key = (n - start, repeats, -p)
+            key = (length, repeats, -p)
             if best is None or key > best[0]:
-                best = (key, (start, p, repeats, rest))
+                best = (key, (n - length, p, repeats, rest))
     return best and best[1]
 
 
+def _prefixes(ids: Sequence) -> list[int]:
+    """For each place, how many ids from there equal those from the start; in linear time, as what is known of the furthest match is used again."""
+    n = len(ids)
+    out = [n] * (n > 0) + [0] * (n - 1)
+    begin = end = 0
+    for k in range(1, n):
+        m = min(end - k, out[k - begin]) if k < end else 0
+        while k + m < n and ids[m] == ids[k + m]:
+            m += 1
+        out[k] = m
+        if k + m > end:
+            begin, end = k, k + m
+    return out
+
+
 @dataclass
 class Macro:
     """A symbol that stands for others: a run of one symbol or a pair."""

@@ -13,14 +13,21 @@ def roots(edges: DataFrame, parent: str = "parent", child: str = "child") -> Dat
     return edges.select(F.col(parent).alias("node")).distinct().join(edges.select(F.col(child).alias("node")), "node", "left_anti")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed where the session has a folder for it, else persisted, so that an executor's loss is made good from the lineage."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def walk(edges: DataFrame, most: int = 64) -> DataFrame:
     """Every node with its parent, depth from its root, root and path (joined by /), level by level.
 
-    A level is joined to the edges only; the loop ends with the first empty level. ValueError beyond `most` levels, which a cycle would reach."""
+    The edges and each level are computed once; a level is joined to the edges only; the loop ends with the first empty level. ValueError beyond `most` levels, which a cycle would reach."""
+    edges = _kept(edges)
     level = roots(edges).select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.col("node").alias("root"), F.col("node").cast("string").alias("path"))
     out = level
     for depth in range(1, most + 2):
         level = level.select(F.col("node").alias("parent"), "root", "path").join(edges, "parent").select(F.col("child").alias("node"), "parent", F.lit(depth).alias("depth"), "root", F.concat_ws("/", "path", "child").alias("path"))
+        level = _kept(level)
         if level.isEmpty():
             return out
         out = out.union(level)

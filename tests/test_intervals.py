@@ -89,3 +89,16 @@ def test_gaps_split_into_communication_work_and_silence(data):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert I.busy(df, ["k"]).count() == I.overlap_join(df, df, ["k"]).count() == I.islands(df, ["k"]).count() == 0
+
+
+def test_nearest_like_all_pairs(spark):
+    r = random.Random(8)
+    left = [(r.choice([0, 1, 2, None]), k, r.choice([None, *range(12)])) for k in range(60)]
+    right = [(r.choice([0, 1, None]), k, r.choice([None, *range(12)])) for k in range(25)]
+    want = {}
+    for k, i, t in left:
+        near = [(abs(u - t), u, j) for q, j, u in right if q == k and k is not None and t is not None and u is not None]
+        if near:
+            want[i] = (min(near)[2], min(near)[0])
+    got = I.nearest(spark.createDataFrame(left, "k int, a int, t long"), spark.createDataFrame(right, "k int, b int, u long"), ["k"], "a", "t", "b", "u").collect()
+    assert {x["a"]: (x["nearest"], x["delta_ns"]) for x in got} == want and len(got) == len(want)

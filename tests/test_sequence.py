@@ -69,6 +69,11 @@ def test_periodic_suffix_against_search(seed):
     assert (got and (len(ids) - got[0], got[2], -got[1])) == best
 
 
+def test_periodic_suffix_of_a_long_sequence_is_linear():
+    assert Q.periodic_suffix(list("x" * 3 + "ab" * 100_000)) == (3, 2, 100_000, 0)
+    assert Q.periodic_suffix([0] * 199_999 + [1]) is None
+
+
 def test_motif():
     assert Q.primitive(list("abab")) == ["a", "b"] and Q.primitive(list("aba")) == list("aba") and Q.primitive([]) == []
 
@@ -81,3 +86,17 @@ def test_runs_and_grams(spark):
     guard = spark.createDataFrame([(1, 7, 1, 3, "no_cross"), (2, 8, 0, 0, "block_any_overlap")], "k long, interval_id long, first_token long, last_token long, policy string")
     bad = {(r["first_pos"], r["length"]) for r in Q.violations(grams, guard, ["k"]).where("violates = 7").collect()}
     assert bad == {(0, 2), (0, 3), (2, 3), (3, 2), (3, 3)}
+
+
+def test_violations_hold_over_stretches_of_any_width(spark):
+    r = random.Random(4)
+    grams = [(r.randrange(2), a, a + r.randrange(1, 6), f"g{k}") for k in range(60) for a in [r.randrange(40)]]
+    guard = [(r.randrange(2), k, a, a + r.randrange(0, 12), r.choice(["no_cross", "allow_enclosing", "block_any_overlap"])) for k in range(8) for a in [r.randrange(40)]]
+    def bad(a, b, s, e, policy):
+        inside, around = a >= s and b <= e, a <= s and b >= e
+        return a <= e and b >= s and {"no_cross": not inside, "allow_enclosing": not inside and not around, "block_any_overlap": True}[policy]
+    want = {g[3]: min(((s, i) for k, i, s, e, p in guard if k == g[0] and bad(g[1], g[2], s, e, p)), default=(0, None))[1] for g in grams}
+    g = spark.createDataFrame(grams, "k long, first_pos long, last_pos long, gram string")
+    i = spark.createDataFrame(guard, "k long, interval_id long, first_token long, last_token long, policy string")
+    for width in (1, 7, 256):
+        assert {x["gram"]: x["violates"] for x in Q.violations(g, i, ["k"], width).collect()} == want
