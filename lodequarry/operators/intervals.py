@@ -80,7 +80,7 @@ def following(events: DataFrame, anchors: DataFrame, keys: Sequence[str], at: st
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, at: str, right_id: str, right_at: str) -> DataFrame:
     """left_id with the right row of equal keys whose time is nearest, earlier time and smaller id first among equals; rows whose key has none, or with a null key or time, are left out.
 
-    One union and two windows over it, so a key's rows never multiply: the last right row at or before the time, and the first at or after it."""
+    One union and two windows over it, so a key's rows never multiply: the last right row at or before the time, and the first at or after it. Rows that repeat a left_id give one row."""
     r = right.select(*keys, F.col(right_at).alias("_t"), F.struct(F.col(right_at).alias("at"), F.col(right_id).alias("id")).alias("_r"), F.lit(0).alias("_kind"))
     both = left.select(*keys, F.col(left_id), F.col(at).alias("_t"), F.lit(1).alias("_kind")).unionByName(r, allowMissingColumns=True).dropna(subset=[*keys, "_t"])
     w, so_far = Window.partitionBy(*keys), (Window.unboundedPreceding, Window.currentRow)
@@ -89,7 +89,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str
     after = F.last("_r", ignorenulls=True).over(w.orderBy(F.col("_t").desc(), "_kind", last_first).rowsBetween(*so_far))
     met = both.withColumns({"_before": before, "_after": after}).where("_kind = 1")
     near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("_t")).alias("delta"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.id").alias("id")))
-    best = met.select(left_id, F.least(near("_before"), near("_after")).alias("b")).where("b is not null")
+    best = met.select(left_id, F.least(near("_before"), near("_after")).alias("b")).where("b is not null").groupBy(left_id).agg(F.min("b").alias("b"))
     return best.select(left_id, F.col("b.id").alias("nearest"), F.col("b.delta").alias("delta_ns"))
 
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import os
 import sqlite3
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodequarry.operators import rules, sequence
 from lodequarry.plans import sinks
 from lodequarry.plans.registry import query
-from lodequarry.plans.timeline import Timeline
+from lodequarry.plans.timeline import Timeline, analyze, bundled_rules
 from lodequarry.sources import inference_log, manifests, profiles
 from lodequarry.sources.tables import table
+from lodequarry.streaming import imports
 
 
 def _folder(spark: SparkSession) -> str:
@@ -279,3 +284,94 @@ def written_back(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 @query("SNK-03", "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1")
 def derived_table(spark, sf):
     return written_back(spark, table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("nations")), "by_region")
+
+
+@query("RUL-06", "SELECT n_name AS rule_id, CASE WHEN n_nationkey % 6 = 0 THEN 'overlay' ELSE 'r' || n_regionkey END AS role, TRUE AS order_is_nothing, TRUE AS a_role_is_something FROM nation")
+def overlaid_rules(spark, sf):
+    n = _nations(spark, sf)
+    base, over = {name: {"role": f"r{r}"} for _, name, r in n}, {name: {"role": "overlay"} for k, name, _ in n if k % 6 == 0}
+    got, digest = rules.overlaid(base, over)
+    same = rules.overlaid(dict(reversed(base.items())), over)[1] == digest
+    other = rules.overlaid(base, {**over, n[0][1]: {"role": "another"}})[1] != digest
+    return spark.createDataFrame([(k, v["role"], same, other) for k, v in got.items()], "rule_id string, role string, order_is_nothing boolean, a_role_is_something boolean")
+
+
+def _followed(spark: SparkSession, sf: str, published=None) -> str:
+    """A store after a folder of three segments was followed, a segment at a time: starts, ends of nations whose key is no multiple of 3, and the starts again.
+
+    Nations whose key is a multiple of 8 have no start."""
+    folder, n = _folder(spark), _nations(spark, sf)
+    starts = [_line(k, name) for k, name, _ in n if k % 8]
+    ends = [json.dumps(json.loads(_line(100 + k, name)) | {"trace_id": f"{k + 1:032x}", "span_id": f"{k + 1:016x}", "event_type": "span_end", "status": "ok"}) for k, name, _ in n if k % 3]
+    os.makedirs(f"{folder}/segments")
+    for at, lines in enumerate((starts, ends, starts)):
+        with open(f"{folder}/segments/{at}.jsonl", "w") as f:
+            f.writelines(x + "\n" for x in lines)
+        os.utime(f"{folder}/segments/{at}.jsonl", (1_700_000_000 + at, 1_700_000_000 + at))  # read in this order
+    imports.follow(spark, f"file://{folder}/segments", f"file://{folder}/store", f"file://{folder}/checkpoint", published, files=1).awaitTermination()
+    return f"file://{folder}/store"
+
+
+@query("STR-02", "SELECT n_nationkey AS sequence, 'span_start' AS event_type FROM nation WHERE n_nationkey % 8 <> 0 UNION ALL SELECT 100 + n_nationkey, 'span_end' FROM nation WHERE n_nationkey % 3 <> 0")
+def followed_folder(spark, sf):
+    return spark.read.parquet(_followed(spark, sf)).select("sequence", "event_type")
+
+
+@query("STR-03", """SELECT CASE WHEN n_nationkey % 8 = 0 THEN 'unobserved' ELSE n_name END AS name, CASE WHEN n_nationkey % 8 = 0 THEN 'missing_start' WHEN n_nationkey % 3 = 0 THEN 'open' ELSE 'ok' END AS status,
+ CASE WHEN n_nationkey % 8 <> 0 AND n_nationkey % 3 <> 0 THEN 700 END AS duration_ns FROM nation WHERE n_nationkey % 8 <> 0 OR n_nationkey % 3 <> 0""")
+def assembled_spans(spark, sf):
+    return imports.spans(spark, _followed(spark, sf)).select("name", "status", "duration_ns")
+
+
+@query("STR-07", "SELECT 0 AS batch, count(*) AS spans, CAST(0 AS BIGINT) AS finished FROM nation WHERE n_nationkey % 8 <> 0 UNION ALL SELECT 1, count(*), count(*) FILTER (n_nationkey % 8 <> 0 AND n_nationkey % 3 <> 0) FROM nation WHERE n_nationkey % 8 <> 0 OR n_nationkey % 3 <> 0")
+def snapshots(spark, sf):
+    out: list[tuple] = []
+    _followed(spark, sf, lambda df, number: out.append((number, df.count(), df.where("status = 'ok'").count())))
+    return spark.createDataFrame(out, "batch int, spans long, finished long")
+
+
+@query("SNK-13", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, CASE WHEN n_nationkey % 4 < 2 THEN 'a' ELSE 'b' END AS symbol FROM nation")
+def grammar_file(spark, sf):
+    g = json.loads(sinks.grammar_json(sequence.grammar(["a" if k % 4 < 2 else "b" for k, _, _ in _nations(spark, sf)])))
+
+    def unfold(symbol: str) -> list[str]:
+        if symbol not in g["macros"]:
+            return [symbol]
+        _, parts, times = g["macros"][symbol]
+        return [x for p in parts for x in unfold(p)] * times
+
+    symbols = [x for name, _, _ in g["nodes"] for x in unfold(name)]
+    return spark.createDataFrame(list(enumerate(symbols)), "pos long, symbol string")
+
+
+@query("SNK-14", "SELECT n_name AS name FROM nation")
+def spans_page(spark, sf):
+    n = [(f"{k:032x}", f"{k:016x}", name, "step", "ok", k, k) for k, name, _ in _nations(spark, sf)]
+    page = sinks.spans_html(spark.createDataFrame(n, "trace_id string, span_id string, name string, kind string, status string, duration_ns long, start_ns long"))
+    return spark.createDataFrame([(x,) for x in re.findall(r"<tr><td>[^<]*</td><td>[^<]*</td><td>([^<]*)</td>", page)], "name string")
+
+
+@query("API-01", "SELECT n_regionkey AS device_id, count(*) AS events, CAST(sum(60) AS BIGINT) AS busy_ns FROM nation GROUP BY 1")
+def analysed(spark, sf):
+    folder = _folder(spark)
+    os.makedirs(f"{folder}/in")
+    _ascend(spark, sf, f"{folder}/in")
+    events = analyze(spark, f"{folder}/in", f"{folder}/out").relations["event"]
+    return events.groupBy("device_id").agg(F.count("*").alias("events"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("busy_ns"))
+
+
+@query("API-04")
+def rules_at_hand(spark, sf):
+    return spark.createDataFrame([(name, len(bundled_rules(name))) for name in ("classification", "task_symbols", "collective_symbols")], "name string, rules long")
+
+
+@query("API-05", "SELECT n_name, n_regionkey FROM nation WHERE n_nationkey >= 5")
+def command_line(spark, sf):
+    from lodequarry.__main__ import main
+
+    out, said = f"{_folder(spark)}/published", io.StringIO()
+    sinks.publish({"lq_cli_nation": table(spark, sf, "nation")}, out)
+    with contextlib.redirect_stdout(said):
+        main(["query", out, "--sql", "SELECT n_name, n_regionkey FROM lq_cli_nation WHERE n_nationkey >= 5"])
+    rows = [json.loads(x) for x in said.getvalue().splitlines()]
+    return spark.createDataFrame([(r["n_name"], r["n_regionkey"]) for r in rows], "n_name string, n_regionkey long")
