@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodequarry.llm import shared
@@ -233,6 +233,47 @@ def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
     return texts.select("node", "text").mapInArrow(_prefixer(words, least, told), "node long, token long, place long, before array<long>")
 
 
+def _differ(words: int, least: float):
+    import pyarrow as pa
+
+    def run(batches):
+        for whole in batches:
+            for batch in shared.slices(whole, 2 << 20):
+                get = lambda c: batch.column(batch.schema.get_field_index(c))
+                sets = [tokens_of(get(c), words) for c in ("text", "hub_text")]
+                doc, token = (np.concatenate([x[k] for x in sets]) for k in (0, 1))
+                side = np.repeat(np.arange(2, dtype=np.uint64), [len(x[0]) for x in sets])
+                order = np.lexsort((token, doc))
+                doc, token, side = doc[order], token[order], side[order]
+                same = (doc[1:] == doc[:-1]) & (token[1:] == token[:-1])
+                lone = np.ones(len(doc), bool)
+                lone[1:][same] = lone[:-1][same] = False
+                doc, token, side = doc[lone], token[lone], side[lone]
+                n, hub_n = sets[0][2], sets[1][2]
+                lacks = np.bincount(doc[side == 1], minlength=len(n))
+                over = n * (least / (1 + least)) + lacks - hub_n / 2
+                made = shared.mix(shared.mix(token + side) ^ get("hub").to_numpy().view(np.uint64)[doc]).view(np.int64)
+                edge = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(n))))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([get("node"), get("hub"), pa.ListArray.from_arrays(pa.array(edge), pa.array(made)), pa.array(over)], ["node", "hub", "unlike", "over"])
+
+    return run
+
+
+def differences(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """node, hub, unlike, over: of each text (node, text, hub, hub_text), the tokens in which it differs from what most texts of its hub have, hashed with the hub, and how far it is from that.
+
+    With H tokens that most have and D those a text lacks of them, |a and b| = H - |Da| - |Db| + what a and b have in common of their differences. So two texts of one hub are as similar as `least` just if
+    that is at least over(a) + over(b), over being n * least / (1 + least) + |D| - H / 2. Where the sum is not positive, both are as similar as that to the text of the hub whose over is smallest.
+    That holds for any set of H tokens; the hub's own come first, then those are turned over in which more than half of its texts differ from it."""
+    raw = shared.staged(texts.select("node", "text", "hub", "hub_text").mapInArrow(_differ(words, least), "node long, hub long, unlike array<long>, over double"), "unlike-hubs")
+    size = raw.groupBy("hub").agg(F.count("*").alias("size"))
+    often = raw.select("hub", F.explode("unlike").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("k")).join(size, "hub").where("2 * k > size")
+    often = shared.staged(often.groupBy("hub").agg(F.collect_list("token").alias("most")), "turned")
+    met = raw.join(often, "hub", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    turned = F.concat(F.array_except("unlike", "most"), F.array_except("most", "unlike"))
+    return met.select("node", "hub", turned.alias("unlike"), (F.col("over") + F.size("most") / 2 - F.size(F.array_intersect("unlike", "most"))).alias("over"))
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """One text for each text hash that occurs in pairs: that of its representative."""
     return _texts_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -254,8 +295,8 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
     Classes are the connected components of texts whose shingle multisets have a similarity of `least` or more. Candidates share one of n_bands runs of `rows`
     registers (a pair at 0.8 is missed with probability 5e-4, one at 0.85 with 7e-6) and have signatures alike enough; every link is verified on the whole texts. Equal texts
     are one node. First, the members of each bucket of a band are compared with `pivots` of them, the shortest among these, so that copies never meet all of one another. Buckets whose members are then all in
-    one class need no more, as classes are what is asked for. The members of the others are compared across classes where they share one of their rarest tokens (see prefixes), which any two
-    similar texts do, once for each pair. Nothing is cut here: candidates are left out only by bounds that every similar pair meets, and by two tests of signatures
+    one class need no more, as classes are what is asked for. The members of the others are compared across classes, once for each pair: those with one hub (a text that both were compared with) where
+    they share enough of what sets them apart from it (see differences), as any two similar texts do unless both are similar to the hub; the others where they share one of their rarest tokens (see prefixes). Nothing is cut here: candidates are left out only by bounds that every similar pair meets, and by two tests of signatures
     that a pair at exactly 0.8 fails by chance (four and five standard deviations: 1 in 30,000 and 1 in 3,000,000). Texts that merely hold one common passage do not meet.
 
     Texts without words (null and empty ones too) are classes of their own, row by row. A null doc_id counts as larger than all others; rows alike in doc_id
@@ -274,11 +315,13 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
             break
     rows_ = nodes.select("node", "n", F.explode("bands").alias("bucket"))
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar; texts are fetched for those only whose sketches allow it."""
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches allow that they are similar."""
         sketch = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-        likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_plausible(least), "a long, b long")
-        likely = shared.staged(likely, "pairs")
+        return shared.staged(pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_plausible(least), "a long, b long"), "pairs")
+
+    def compared(likely: DataFrame) -> DataFrame:
+        """The pairs that are similar; texts are fetched for these only."""
         texts = shared.staged(_texts(keyed, nodes, likely), "texts")
         text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         met = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
@@ -294,33 +337,65 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
     chosen = shared.staged(chosen.select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{k}.node").alias("pn"), F.col(f"p{k}.n").alias("pk")) for k in range(pivots))))).alias("p")).select("bucket", "p.pn", "p.pk"), "pivots")
     first_pairs = rows_.join(chosen, "bucket").where((F.col("node") != F.col("pn")) & near("pk")).select(*pair).distinct()
     first_pairs = shared.staged(first_pairs, "candidates")
-    links = compared(first_pairs)
+    likely = plausible(first_pairs)
+    links = compared(likely)
     found = shared.staged(components(links), "classes")
     here = rows_.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("class"))
     mixed = here.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
     mixed = shared.staged(mixed, "mixed-buckets")
     open_ = shared.staged(here.join(mixed, "bucket").select("node", "n", "class").distinct(), "mixed-nodes")
     if not open_.isEmpty():
-        texts = shared.staged(_texts_of(keyed, nodes, open_.select("node")), "mixed-texts")
+        # each node's hub: of itself and of those it was compared with, the one that most were compared with
+        ends = likely.union(likely.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degree = ends.groupBy("b").agg(F.count("*").alias("k"))
+        met = ends.union(likely.select("a", F.col("a").alias("b"))).union(likely.select(F.col("b").alias("a"), "b")).join(degree, "b")
+        hubs = met.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("k", "b"))["b"].alias("hub"))
+        open_ = shared.staged(open_.join(hubs, "node", "left").withColumn("hub", F.coalesce("hub", "node")), "mixed-hubs")
+        shared_hubs = open_.groupBy("hub").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("hub")
+        wanted = open_.select("node").union(shared_hubs.select("hub")).distinct()
+        texts = shared.staged(_texts_of(keyed, nodes, wanted), "mixed-texts")
         many = -(-n_bands * rows // 64)
         sign = [F.col("signs")[k].alias(f"s{k}") for k in range(many)]
+
+        def between(tokens: DataFrame, what: str) -> DataFrame:
+            """The tokens that occur in several classes, with the class that has most of a token's rows and their number."""
+            each = tokens.groupBy("token", "class").agg(F.count("*").alias("k"), F.min("hub").alias("x"), F.max("hub").alias("y"))
+            whole = each.groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("k", "class"))["class"].alias("main"), F.sum("k").alias("seen"), F.min("x").alias("x"), F.max("y").alias("y"))
+            return tokens.join(shared.staged(whole.where("classes > 1" + " and x != y" * (what == "mixed-tokens")).select("token", "main", "seen"), what), "token")
+
+        # over: what a pair must share from its first common token on is the sum of both
         tokens = shared.staged(prefixes(texts, words, least).join(open_, "node").join(nodes.select("node", *sign), "node"), "prefixes")
-        across = tokens.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("token")
-        across = shared.staged(across, "mixed-tokens")
-        tokens = tokens.join(across, "token")
-        other = tokens.select("token", F.col("node").alias("pn"), F.col("n").alias("pk"), F.col("class").alias("pc"), F.col("place").alias("pp"), F.col("before").alias("pb"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(many)))
+        tokens = between(tokens, "mixed-tokens").withColumns({"left": F.col("n") - F.col("place"), "over": F.col("n") * F.lit(least / (1 + least)), "apart": F.lit(True)})
+        # texts of one hub meet where they differ alike from most of its texts, so that what all of a large group have does not bring them together
+        hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).join(shared_hubs, "hub", "left_semi")
+        with_hubs = shared.staged(texts.join(open_.select("node", "hub"), "node"), "hub-nodes").join(hub_texts, "hub")
+        unlike_hub = shared.staged(differences(with_hubs, words, least).join(open_.select("node", "n", "class"), "node"), "differences")
+        heads = unlike_hub.groupBy("hub").agg(F.min(F.struct("over", "node", "class", "n")).alias("h")).select("hub", F.col("h.over").alias("p_over"), F.col("h.node").alias("p_node"), F.col("h.class").alias("p_class"), F.col("h.n").alias("p_n"))
+        to_heads = unlike_hub.join(heads, "hub").where((F.col("class") != F.col("p_class")) & (F.col("over") + F.col("p_over") <= 1e-6))
+        unlike_hub = between(unlike_hub.select("node", "hub", "n", "class", "over", F.explode("unlike").alias("token")), "mixed-differences")
+        by_rarity = Window.partitionBy("node").orderBy("seen", "token")
+        unlike_hub = unlike_hub.withColumns({"left": F.count("*").over(Window.partitionBy("node")) - F.row_number().over(by_rarity) + 1, "before": F.collect_list("token").over(by_rarity.rowsBetween(-HEAD, -1)), "apart": F.lit(False)})
+        columns = ["token", "node", "n", "class", "hub", "left", "over", "before", "apart", "main", *(f"s{k}" for k in range(many))]
+        tokens = shared.staged(tokens.select(*columns).union(unlike_hub.join(nodes.select("node", *sign), "node").select(*columns)), "tokens")
+        other = tokens.select("token", *(F.col(c).alias(f"p_{c}") for c in columns[1:]))
+        # of two classes one is not the one that has most rows of a token, so that the rows of a large class do not meet one another
+        tokens = tokens.where("class != main")
+        other_class = (F.col("p_class") == F.col("main")) | (F.col("class") < F.col("p_class"))
+        ends = [F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")]
         # the first token they share stands early enough for all that they must share behind it
-        enough = F.least(F.col("n") - F.col("place"), F.col("pk") - F.col("pp")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("pk")) - 1e-9
+        enough = F.least("left", "p_left") >= F.col("over") + F.col("p_over") - 1e-6
+        across_hubs = ~F.col("apart") | (F.col("hub") != F.col("p_hub"))
         # one bit of each register: equal by chance or for the same point; four standard deviations are allowed
         m, p = n_bands * rows, (1 + least) / 2
-        unlike = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0")))
+        unlike = F.bit_count(F.col("s0").bitwiseXOR(F.col("p_s0")))
         for k in range(1, many):
-            unlike = unlike + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}")))
+            unlike = unlike + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"p_s{k}")))
         alike = unlike <= F.lit(m * (1 - p) + 4 * float(np.sqrt(m * p * (1 - p))))
         # a pair is made at its first common token; far into long prefixes, where `before` ends, perhaps again
-        once = ~F.arrays_overlap("before", "pb")
-        rest = tokens.join(other, "token").where((F.col("class") < F.col("pc")) & near("pk") & enough & alike & once).select(*pair).distinct().join(first_pairs, ["a", "b"], "left_anti")
-        more = compared(shared.staged(rest, "candidates"))
+        once = ~F.arrays_overlap("before", "p_before")
+        rest = tokens.join(other, "token").where(other_class & across_hubs & near("p_n") & enough & alike & once).select(*ends)
+        rest = rest.union(to_heads.select(*ends)).distinct().join(first_pairs, ["a", "b"], "left_anti")
+        more = compared(plausible(shared.staged(rest, "candidates")))
         # links between classes join them
         of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()

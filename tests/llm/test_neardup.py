@@ -112,3 +112,48 @@ def test_classes_over_odd_rows_and_shared_passages(spark, docs, nothing):
     left = neardup.deduplicated(df)
     assert left.columns == df.columns and left.count() == len(want) + sum(not s for s in sets)
     assert neardup.classes(nothing).count() == 0 and neardup.deduplicated(nothing).count() == 0
+
+
+def near_group(members, outliers):
+    """Texts of one passage with two words changed, or three to four, which are similar to few others."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    out = []
+    for k in range(members + outliers):
+        w = list(base)
+        for at in r.sample(range(4, 146), 2 if k < members else 3 + k % 2):
+            w[at] = f"x{k}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_differences_decide_similarity(spark):
+    texts = near_group(20, 12) + [" ".join(near_group(1, 0)[0].split(" ")[: 150 - 5 * k]) for k in range(6)]
+    df = spark.createDataFrame([(k, t, 5, texts[5]) for k, t in enumerate(texts)], "node long, text string, hub long, hub_text string")
+    got = {r["node"]: (set(r["unlike"]), r["over"]) for r in neardup.differences(df, 5, 0.8).collect()}
+    sets = [multiset(t) for t in texts]
+    lowest = min(got, key=lambda k: got[k][1])
+    assert len(got) == len(texts)
+    for a in range(len(texts)):
+        for b in range(a):
+            need = got[a][1] + got[b][1]
+            assert (len(got[a][0] & got[b][0]) >= need - 1e-6) == (similarity(sets[a], sets[b]) >= 0.8 - 1e-9)
+            if need <= 0:
+                assert similarity(sets[a], sets[lowest]) >= 0.8 - 1e-9 and similarity(sets[b], sets[lowest]) >= 0.8 - 1e-9
+
+
+def test_a_large_group_and_its_outliers_are_not_compared_pair_by_pair(spark, monkeypatch):
+    texts = near_group(160, 60)
+    made, staged = [], neardup.shared.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.shared, "staged", counted)
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    _, root = brute(list(enumerate(texts)))
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(root)) and len(got) == len(texts)
+    assert len(made) == 2 and made[1] < 5 * len(texts)
