@@ -159,6 +159,7 @@ def _verifier(words: int, least: float):
 
 SLOTS = 1 << 20  # counters of how often tokens occur; they only order tokens, so sharing one costs time, not links
 _CHUNK = 1 << 12
+_COUNTER = np.dtype([("at", "<u2"), ("count", "<u4")])
 HEAD = 32  # tokens before its own that a prefix token carries, by which a pair is made at its first common token only
 
 
@@ -176,11 +177,14 @@ def _tallier(words: int):
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for whole in batches:
-            for batch in shared.slices(whole):
+            for batch in shared.slices(whole, 2 << 20):
                 _, token, _ = tokens_of(batch.column(batch.schema.get_field_index("text")), words)
                 total += np.bincount((token & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS // _CHUNK, dtype=np.int32)), pa.array([total[k : k + _CHUNK].tobytes() for k in range(0, SLOTS, _CHUNK)], pa.binary())], ["chunk", "tally"])
+        if total.any():  # only counters that moved: many small tasks must not send all of them each
+            chunks = [np.flatnonzero(total[k : k + _CHUNK]) for k in range(0, SLOTS, _CHUNK)]
+            some = [k for k, at in enumerate(chunks) if len(at)]
+            sent = [np.rec.fromarrays((chunks[k], np.minimum(total[k * _CHUNK + chunks[k]], (1 << 32) - 1)), dtype=_COUNTER).tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sent, pa.binary())], ["chunk", "tally"])
 
     return run
 
@@ -188,7 +192,11 @@ def _tallier(words: int):
 def _summed(pdf):
     import pandas as pd
 
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "tally": [sum(np.frombuffer(x, np.int64) for x in pdf["tally"]).tobytes()]})
+    total = np.zeros(_CHUNK, np.int64)
+    for x in pdf["tally"]:
+        counters = np.frombuffer(x, _COUNTER)
+        total[counters["at"]] += counters["count"]  # each but once
+    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "tally": [total.tobytes()]})
 
 
 def _prefixer(words: int, least: float, told):
@@ -197,7 +205,7 @@ def _prefixer(words: int, least: float, told):
     def run(batches):
         tally = told.value
         for whole in batches:
-            for batch in shared.slices(whole):
+            for batch in shared.slices(whole, 2 << 20):
                 doc, token, n = tokens_of(batch.column(batch.schema.get_field_index("text")), words)
                 seen = tally[(token & np.uint64(SLOTS - 1)).astype(np.int64)]
                 order = np.lexsort((token, seen, doc))
@@ -225,7 +233,8 @@ def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
     That holds for any one order of all tokens; this one puts what occurs seldom first (by a bounded table of counters), so passages that very many texts share come last and
     make candidates only of texts that consist of little else. Tokens that occur once are left out, as they meet no other."""
     spark = texts.sparkSession
-    parts = texts.mapInArrow(_tallier(words), "chunk int, tally binary").groupBy("chunk").applyInPandas(_summed, "chunk int, tally binary").collect()  # SLOTS counters
+    tallied = shared.staged(texts.select("text").mapInArrow(_tallier(words), "chunk int, tally binary"), "tallies")
+    parts = tallied.groupBy("chunk").applyInPandas(_summed, "chunk int, tally binary").collect()  # SLOTS counters
     tally = np.zeros(SLOTS, np.int64)
     for r in parts:
         tally[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["tally"], np.int64)
@@ -268,7 +277,7 @@ def differences(texts: DataFrame, words: int, least: float) -> DataFrame:
     raw = shared.staged(texts.select("node", "text", "hub", "hub_text").mapInArrow(_differ(words, least), "node long, hub long, unlike array<long>, over double"), "unlike-hubs")
     size = raw.groupBy("hub").agg(F.count("*").alias("size"))
     often = raw.select("hub", F.explode("unlike").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("k")).join(size, "hub").where("2 * k > size")
-    often = shared.staged(often.groupBy("hub").agg(F.collect_list("token").alias("most")), "turned")
+    often = often.groupBy("hub").agg(F.collect_list("token").alias("most"))
     met = raw.join(often, "hub", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
     turned = F.concat(F.array_except("unlike", "most"), F.array_except("most", "unlike"))
     return met.select("node", "hub", turned.alias("unlike"), (F.col("over") + F.size("most") / 2 - F.size(F.array_intersect("unlike", "most"))).alias("over"))
@@ -343,14 +352,14 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
     here = rows_.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("class"))
     mixed = here.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
     mixed = shared.staged(mixed, "mixed-buckets")
-    open_ = shared.staged(here.join(mixed, "bucket").select("node", "n", "class").distinct(), "mixed-nodes")
+    # each node's hub: of itself and of those it was compared with, the one that most were compared with
+    ends = likely.toDF("node", "hub").union(likely.select("b", "a"))
+    degree = ends.groupBy("hub").agg(F.count("*").alias("k"))
+    known = ends.join(degree, "hub").select("node", "k", "hub").union(degree.select("hub", "k", "hub"))
+    hubs = known.groupBy("node").agg(F.max(F.struct("k", "hub"))["hub"].alias("hub"))
+    open_ = here.join(mixed, "bucket").select("node", "n", "class").distinct().join(hubs, "node", "left")
+    open_ = shared.staged(open_.withColumn("hub", F.coalesce("hub", "node")), "mixed-nodes")
     if not open_.isEmpty():
-        # each node's hub: of itself and of those it was compared with, the one that most were compared with
-        ends = likely.union(likely.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        degree = ends.groupBy("b").agg(F.count("*").alias("k"))
-        met = ends.union(likely.select("a", F.col("a").alias("b"))).union(likely.select(F.col("b").alias("a"), "b")).join(degree, "b")
-        hubs = met.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("k", "b"))["b"].alias("hub"))
-        open_ = shared.staged(open_.join(hubs, "node", "left").withColumn("hub", F.coalesce("hub", "node")), "mixed-hubs")
         shared_hubs = open_.groupBy("hub").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("hub")
         wanted = open_.select("node").union(shared_hubs.select("hub")).distinct()
         texts = shared.staged(_texts_of(keyed, nodes, wanted), "mixed-texts")
@@ -368,7 +377,7 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, n_bands: int =
         tokens = between(tokens, "mixed-tokens").withColumns({"left": F.col("n") - F.col("place"), "over": F.col("n") * F.lit(least / (1 + least)), "apart": F.lit(True)})
         # texts of one hub meet where they differ alike from most of its texts, so that what all of a large group have does not bring them together
         hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).join(shared_hubs, "hub", "left_semi")
-        with_hubs = shared.staged(texts.join(open_.select("node", "hub"), "node"), "hub-nodes").join(hub_texts, "hub")
+        with_hubs = texts.join(open_.select("node", "hub"), "node").join(hub_texts, "hub")
         unlike_hub = shared.staged(differences(with_hubs, words, least).join(open_.select("node", "n", "class"), "node"), "differences")
         heads = unlike_hub.groupBy("hub").agg(F.min(F.struct("over", "node", "class", "n")).alias("h")).select("hub", F.col("h.over").alias("p_over"), F.col("h.node").alias("p_node"), F.col("h.class").alias("p_class"), F.col("h.n").alias("p_n"))
         to_heads = unlike_hub.join(heads, "hub").where((F.col("class") != F.col("p_class")) & (F.col("over") + F.col("p_over") <= 1e-6))

@@ -157,3 +157,18 @@ def test_a_large_group_and_its_outliers_are_not_compared_pair_by_pair(spark, mon
     _, root = brute(list(enumerate(texts)))
     assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(root)) and len(got) == len(texts)
     assert len(made) == 2 and made[1] < 5 * len(texts)
+
+
+def test_a_task_sends_only_the_counters_that_it_moved():
+    import pandas as pd
+
+    parts = [pa.RecordBatch.from_pydict({"text": [words(k, 200), words(1, 60)]}) for k in range(3)]
+    sent = [b for x in parts for b in neardup._tallier(5)([x])]
+    assert sum(b.nbytes for b in sent) < 100_000
+    got = np.zeros(neardup.SLOTS, np.int64)
+    for chunk, rows_ in pd.concat([b.to_pandas() for b in sent]).groupby("chunk"):
+        got[chunk * neardup._CHUNK : (chunk + 1) * neardup._CHUNK] = np.frombuffer(neardup._summed(rows_)["tally"].iloc[0], np.int64)
+    want = np.zeros(neardup.SLOTS, np.int64)
+    for x in parts:
+        want += np.bincount((neardup.tokens_of(x.column(0), 5)[1] & np.uint64(neardup.SLOTS - 1)).astype(np.int64), minlength=neardup.SLOTS)
+    assert (got == want).all()
