@@ -85,3 +85,34 @@ def test_files_hold_documents_in_order(spark, docs, nothing, encoder, tmp_path):
         start += len(ids)
     tokenfiles.write(nothing, str(tmp_path / "e"))
     assert tokenfiles.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_coder_renews_its_shares_less_often_as_it_grows(monkeypatch):
+    times = []
+    weigh = rangecoder._Model._weigh
+    monkeypatch.setattr(rangecoder._Model, "_weigh", lambda model: (times.append(model.learnt), weigh(model)))
+    x = np.random.default_rng(1).zipf(1.3, 1 << 21) % 50_000
+    assert (rangecoder.decode(rangecoder.encode(x)) == x).all()
+    assert len(times) < 2 * 40  # both directions; 69 times each where they came every 32,768 ids
+
+
+def test_coder_where_one_context_has_more_followers_than_slots():
+    rng = np.random.default_rng(2)
+    x = np.zeros(400_000, np.int64)
+    x[1::2] = np.where(rng.random(200_000) < 0.5, 1, rng.integers(2, 9000, 200_000))
+    assert (rangecoder.decode(rangecoder.encode(x)) == x).all()
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.sets(st.integers(0, (1 << 35) - 1), min_size=1, max_size=400), st.lists(st.integers(0, (1 << 35) - 1), max_size=50))
+def test_finder_finds_each_key_and_no_other(keys, others):
+    have = np.array(sorted(keys), np.int64)
+    wanted = np.array([*keys, *others], np.int64)
+    hit, place = rangecoder._Finder(have).find(wanted)
+    assert sorted(hit.tolist()) == [k for k, w in enumerate(wanted.tolist()) if w in keys] and (have[place] == wanted[hit]).all()
+
+
+def test_finder_with_keys_that_reach_the_later_tables():
+    finder = rangecoder._Finder(np.arange(50_000) * 3)
+    hit, place = finder.find(np.arange(150_000))
+    assert sorted(hit.tolist()) == list(range(0, 150_000, 3)) and (place * 3 == hit).all()
