@@ -28,6 +28,21 @@ def test_pieces_give_the_library_s_ids(texts):
     assert ids.tolist() == sum(([*x, 0] for x in library(enc, texts)), []) and n.tolist() == [len(x) + 1 for x in library(enc, texts)]
 
 
+@settings(deadline=None, max_examples=1000)
+@given(st.lists(st.text(alphabet="  \n\nab'st.,_9\t\r\x1c\x85\xa0×÷çÉ\u0301\u2003—٣½漢😀", max_size=12), max_size=6))
+def test_cuts_beside_odd_signs_give_the_library_s_ids(texts):
+    enc = tokens.encoder(tokens.default_vocabulary())
+    ids, n = enc.encode(texts)
+    assert ids.tolist() == sum(library(enc, texts), []) and n.tolist() == [len(x) for x in library(enc, texts)]
+
+
+def test_signs_and_lines_do_not_make_new_pieces():
+    enc = tokens.TextEncoder(tokens.default_vocabulary())
+    words = ["alpha", "beta", "gamma", "été"]
+    enc.encode([a + sign + b for a in words for b in words for sign in (" ", ", ", ".\n", "; ", "!\n")])
+    assert len(enc.memory) <= 2 * len(words) + 6  # each word with and without a blank, four signs, the line's end, nothing
+
+
 def test_nulls_special_strings_and_a_small_memory(encoder):
     texts = [None, "", "<|endoftext|>", "don't we've 's", *(r[1] for r in rows())]
     for _ in range(2):
