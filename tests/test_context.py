@@ -1,4 +1,6 @@
 import json
+import random
+import statistics
 
 import pytest
 
@@ -77,3 +79,24 @@ def test_clock_fit_is_exact():
     assert m.map(10**18 + 1000) == 10**18 + 77 + 1001
     with pytest.raises(ValueError):
         clock.fit([(1, 2)] * 9)
+
+
+def test_clock_fit_takes_the_median_of_all_slopes():
+    r = random.Random(3)
+    for n in (3, 4, 7, 12, 40, 90):
+        for wide in (5, 60, 10**9):
+            pairs = [(r.randrange(wide), r.randrange(-wide, wide)) for _ in range(n)]
+            ordered = sorted(set(pairs))
+            used = [p for k, p in enumerate(ordered) if k % 5 != 4]
+            slopes = [clock.Fraction(b[1] - a[1], b[0] - a[0]) for a in used for b in used if b[0] > a[0]]
+            if len(ordered) < 3 or not slopes:
+                continue
+            m = clock.fit(pairs)
+            assert m.slope == statistics.median(slopes)
+            assert m.intercept == statistics.median([y - m.slope * (x - ordered[0][0]) for x, y in used])
+
+
+def test_clock_samples_may_be_many(spark):
+    rows = [(k % 2, k * 1_000_000, k * 1_000_020 + k % 3) for k in range(10_000)]
+    got = clock.fitted(spark.createDataFrame(rows, "rank int, a long, b long"), ["rank"], "a", "b").orderBy("rank").collect()
+    assert [(x["rank"], x["slope_ppb"], x["samples"]) for x in got] == [(0, 20_000, 5_000), (1, 20_000, 5_000)]
