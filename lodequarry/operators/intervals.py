@@ -6,7 +6,9 @@ copied once for each bin it touches, and a pair is reported in one bin only, so
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,26 +95,57 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str
     return best.select(left_id, F.col("b.id").alias("nearest"), F.col("b.delta").alias("delta_ns"))
 
 
-def segments(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The stretches between neighbouring starts and ends of a key: keys, seg_start, seg_end."""
-    points = df.select(*keys, F.explode(F.array("start_ns", "end_ns")).alias("seg_start")).distinct()
-    w = Window.partitionBy(*keys).orderBy("seg_start")
-    return points.withColumn("seg_end", F.lead("seg_start").over(w)).where("seg_end is not null")
+def _sweep(batches: Iterator, keys: Sequence[str], id_column: str) -> Iterator:
+    """Owned times of intervals that come in order of keys, bin and start; only those that are open are held."""
+    import pyarrow as pa
+
+    group, now, open_, owned = None, 0, [], defaultdict(int)
+
+    def forward(until: int | None = None) -> None:
+        nonlocal now
+        while open_ and (until is None or now < until):
+            end = open_[0][-1]
+            if end <= now:
+                heapq.heappop(open_)
+                continue
+            stop = end if until is None else min(end, until)
+            owned[*group[:-1], open_[0][3]] += stop - now
+            now = stop
+        now = now if until is None else until
+
+    def rows(kinds: list) -> pa.RecordBatch:
+        columns = zip(*((*k, v) for k, v in owned.items())) if owned else [[]] * (len(kinds) + 1)
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, columns), [*kinds, pa.int64()])], [*keys, id_column, "owned_ns"])
+        owned.clear()
+        return out
+
+    kinds = None
+    for batch in batches:
+        kinds = kinds or [batch.schema.field(c).type for c in (*keys, id_column)]
+        for *g, i, p, start, end in zip(*(batch.column(c).to_pylist() for c in (*keys, "_bin", id_column, "_p", "start_ns", "end_ns"))):
+            if g != group:
+                forward()
+                group, now = g, start
+            forward(start)
+            heapq.heappush(open_, (p is not None, p, i is not None, i, end))
+        yield rows(kinds)
+    if kinds:
+        forward()
+        yield rows(kinds)
 
 
 def ownership(df: DataFrame, keys: Sequence[str], id_column: str, priority: Column, bin_ns: int = HOUR) -> DataFrame:
     """id and owned_ns: each instant belongs to one active interval, that of the highest priority, then of the smallest id. Owned times add up to the union.
 
-    Intervals are clipped to bins first, so a segment only meets the intervals of its bin."""
-    rows = df.where("end_ns > start_ns").withColumn("_p", -priority)
+    Intervals are clipped to bins first, and a bin is swept in order of time with a heap of the open intervals: n log n, however many are open at once."""
+    rows = df.dropna(subset=list(keys)).where("end_ns > start_ns").withColumn("_p", -priority)
     last = F.col("end_ns") - 1
     cut = rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_ns") / bin_ns), F.floor(last / bin_ns)))).select(
         *keys, "_bin", id_column, "_p", F.greatest("start_ns", F.col("_bin") * bin_ns).alias("start_ns"), F.least("end_ns", (F.col("_bin") + 1) * bin_ns).alias("end_ns")
     )
-    segs = segments(cut, [*keys, "_bin"])
-    met = segs.join(cut, [*keys, "_bin"]).where((F.col("start_ns") <= F.col("seg_start")) & (F.col("end_ns") >= F.col("seg_end")))
-    owner = met.groupBy(*keys, "_bin", "seg_start", "seg_end").agg(F.min(F.struct("_p", id_column)).alias("o"))
-    return owner.groupBy(*keys, F.col(f"o.{id_column}").alias(id_column)).agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("owned_ns"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*keys, id_column).schema) + ", owned_ns long"
+    swept = cut.repartition(*keys, "_bin").sortWithinPartitions(*keys, "_bin", "start_ns").mapInArrow(lambda x: _sweep(x, keys, id_column), schema)
+    return swept.groupBy(*keys, id_column).agg(F.sum("owned_ns").alias("owned_ns"))
 
 
 def gaps(df: DataFrame, keys: Sequence[str], id_column: str) -> DataFrame:

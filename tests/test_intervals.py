@@ -102,3 +102,13 @@ def test_nearest_like_all_pairs(spark):
             want[i] = (min(near)[2], min(near)[0])
     got = I.nearest(spark.createDataFrame(left, "k int, a int, t long"), spark.createDataFrame(right, "k int, b int, u long"), ["k"], "a", "t", "b", "u").collect()
     assert {x["a"]: (x["nearest"], x["delta_ns"]) for x in got} == want and len(got) == len(want)
+
+
+def test_ownership_of_many_at_once_makes_no_pairs(spark):
+    from pyspark.sql import functions as F
+
+    n = 3_000
+    df = spark.range(n).select(F.lit(0).alias("k"), "id", F.col("id").alias("start_ns"), (F.lit(2 * n) - F.col("id")).alias("end_ns"), F.lit("x").alias("symbol"))
+    owned = I.ownership(df, ["k"], "id", F.col("id"), 10**6)
+    assert {(x["id"], x["owned_ns"]) for x in owned.collect()} == {(k, 2 if k < n - 1 else n - k + 1) for k in range(n)}
+    assert not [x for x in ("Join", "CartesianProduct") if x in owned._jdf.queryExecution().executedPlan().toString()]
