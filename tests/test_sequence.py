@@ -100,3 +100,32 @@ def test_violations_hold_over_stretches_of_any_width(spark):
     i = spark.createDataFrame(guard, "k long, interval_id long, first_token long, last_token long, policy string")
     for width in (1, 7, 256):
         assert {x["gram"]: x["violates"] for x in Q.violations(g, i, ["k"], width).collect()} == want
+
+
+def test_long_runs_and_grams_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_CELL", 7)
+    r = random.Random(5)
+    rows = [(r.choice([0, 1, None]), r.choice([None, *range(40)]), k, r.choice("aab")) for k in range(150)]
+    df = spark.createDataFrame(rows, "k long, t long, i long, s string")
+    kept = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    assert kept(Q.long_runs(df, ["k"], ["t", "i"], "s")) == kept(Q.runs(df, ["k"], ["t", "i"], "s"))
+    want = []
+    for key in (0, 1, None):
+        line = [x[3] for x in sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))]
+        want += [(key, p, p + n - 1, n, ">".join(line[p : p + n])) for n in (2, 3) for p in range(len(line) - n + 1)]
+    grams = Q.ngrams(df, ["k"], ["t", "i"], "s", 2, 3)
+    assert kept(grams) == sorted(want, key=repr)
+    assert all("_cell" in x or "_block" in x for x in grams._jdf.queryExecution().executedPlan().toString().splitlines() if "+- Window [" in x and "_before" not in x)
+
+
+def test_sequences_over_the_cap_are_folded_without_python(spark):
+    r = random.Random(6)
+    lines = {1: r.choices("aab", k=200), 2: list("abcabcab"), 3: r.choices("ab", k=90)}
+    df = spark.createDataFrame([(k, i, s) for k, x in lines.items() for i, s in enumerate(x)], "k long, t long, s string")
+    want = [(k, n, s, a, b, ">".join(Q.expand(g, s)), g.status) for k, x in lines.items() for g in [Q.grammar(x, 30)] for n, (s, a, b) in enumerate(g.nodes)]
+    assert {x[0] for x in want if x[6] != "done"} == {1, 3}
+    assert sorted(map(tuple, Q.folded(df, "k", ["t"], "s", 30).collect())) == sorted(want)
+    trees = {(k, *x) for k, line in lines.items() for x in Q.tree(Q.grammar(line, 30))}
+    assert {tuple(x) for x in Q.folded_trees(df, "k", ["t"], "s", 30).collect()} == trees
+    short, long = Q._split(df, "k", ["t"], "s", 30)
+    assert {x["k"] for x in short.collect()} == {2} and {x["k"] for x in long.collect()} == {1, 3}
