@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +91,76 @@ def greedy_pairs(candidates: DataFrame, group: Sequence[str], left: str, right:
     return candidates.select(*schema.names).groupBy(*group).applyInPandas(match, schema)
 
 
+def nearest_first(start: Sequence[int], end: Sequence[int], code: Sequence[int], is_left: Sequence[bool]) -> list[tuple[int, int]]:
+    """greedy_pairs() of the overlapping intervals of two sides, by the distance of their starts, without the pairs: places of (left, right) pairs taken.
+
+    Rows come in order of start, side and id; `code` numbers the ids of each side in their order, and a code is taken once. Of a pair, the earlier row keeps the next row of the other side that is
+    not taken; a heap holds one candidate a row, and a row whose candidate was taken moves on to the next."""
+    n = len(start)
+    taken: tuple[set, set] = (set(), set())
+    ahead = ([*range(1, n + 1)], [*range(1, n + 1)])  # by side, the next place that may be of the other side and free
+
+    def free(k: int, side: int) -> bool:
+        return is_left[k] != side and code[k] not in taken[1 - side]
+
+    def following(k: int, side: int) -> int:
+        """The first free place of the other side behind k; the way is shortened for the next one who goes it."""
+        up, at = ahead[side], k
+        while (at := up[at]) < n and not free(at, side):
+            pass
+        while k < n and up[k] < at:
+            up[k], k = at, up[k]
+        return at
+
+    def offer(a: int, b: int) -> None:
+        side = int(is_left[a])
+        while (b := following(b, side)) < n and start[b] < end[a]:
+            if end[b] > start[a]:
+                l, r = (a, b) if side else (b, a)
+                heapq.heappush(heap, (start[b] - start[a], code[l], code[r], a, b))
+                return
+
+    heap: list[tuple[int, int, int, int, int]] = []
+    for a in range(n):
+        offer(a, a)
+    out = []
+    while heap:
+        _, l, r, a, b = heapq.heappop(heap)
+        side = int(is_left[a])
+        if code[a] in taken[side]:
+            continue
+        if code[b] in taken[1 - side]:
+            offer(a, b)
+            continue
+        taken[1].add(l)
+        taken[0].add(r)
+        out.append((a, b) if side else (b, a))
+    return out
+
+
+def claimed(left: DataFrame, right: DataFrame, group: Sequence[str], left_id: str, right_id: str) -> DataFrame:
+    """greedy_pairs() of the pairs of overlapping intervals (start_ns, end_ns) with equal keys, by the distance of their starts (delta), in memory that grows with the rows of a group."""
+    import numpy as np
+    import pandas as pd
+
+    side = lambda df, c, left: df.select(*group, F.col(c).alias("_id"), "start_ns", "end_ns", F.lit(left).alias("_left")).dropna()
+    both = side(left, left_id, True).unionByName(side(right, right_id, False))
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+
+    def match(pdf):
+        pdf = pdf.sort_values(["start_ns", "_left", "_id"])
+        is_left, ids = pdf["_left"].to_numpy(), pdf["_id"].to_numpy()
+        code = np.zeros(len(pdf), np.int64)
+        for x in (True, False):
+            code[is_left == x] = np.unique(ids[is_left == x], return_inverse=True)[1]
+        at = pdf["start_ns"].to_numpy()
+        pairs = np.array(nearest_first(at.tolist(), pdf["end_ns"].tolist(), code.tolist(), is_left.tolist()), np.int64).reshape(-1, 2)
+        out = {c: np.full(len(pairs), pdf[c].iloc[0]) for c in group}
+        return pd.DataFrame(out | {left_id: ids[pairs[:, 0]], right_id: ids[pairs[:, 1]], "delta": np.abs(at[pairs[:, 1]] - at[pairs[:, 0]])})
+
+    return both.groupBy(*group).applyInPandas(match, ", ".join(f"`{c}` {kinds[c]}" for c in group) + f", `{left_id}` {kinds['_id']}, `{right_id}` {kinds['_id']}, delta long")
+
+
 def ordinal_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, a_order: Sequence[str], b_id: str, b_order: Sequence[str]) -> DataFrame:
     """Pairs of the k-th of a and the k-th of b in groups where both have equally many."""
     w = lambda order: Window.partitionBy(*keys).orderBy(*order)

@@ -259,8 +259,8 @@ def nearest_call(spark, sf):
 @query("JOIN-10")
 def claimed_nearest(spark, sf):
     e = trace_event(spark, sf)
-    met = I.overlap_join(e.where(F.col("symbol") == COMMUNICATION).select("device_id", "stream_id", F.col("event_id").alias("launch"), "start_ns", "end_ns"), e.where(F.col("symbol") == WAIT).select("device_id", "stream_id", F.col("event_id").alias("wait"), "start_ns", "end_ns"), ["device_id", "stream_id"])
-    return R.greedy_pairs(met.withColumn("delta", F.abs(F.col("r_start_ns") - F.col("start_ns"))), ["device_id", "stream_id"], "launch", "wait", "delta")
+    side = lambda symbol, name: e.where(F.col("symbol") == symbol).select("device_id", "stream_id", F.col("event_id").alias(name), "start_ns", "end_ns")
+    return R.claimed(side(COMMUNICATION, "launch"), side(WAIT, "wait"), ["device_id", "stream_id"], "launch", "wait")
 
 
 @query("JOIN-11", f"""WITH a AS (SELECT device_id, stream_id, event_id, row_number() OVER (PARTITION BY device_id, stream_id, day ORDER BY start_ns, event_id) AS k, count(*) OVER (PARTITION BY device_id, stream_id, day) AS n, day FROM (SELECT *, start_ns // 86400000000000 AS day FROM {_COMM})),

@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lodequarry.functions import scalars as S
+from lodequarry.operators import intervals as I
 from lodequarry.operators import relations as R
 from lodequarry.operators import structure as T
 
@@ -40,3 +43,18 @@ def test_public_text(spark):
     rows = [("fine text", True), ("my api key is", False), ("see https://x", False), ("a < b", False), ("tokens count", True), ("token", False), ("eyJabc.def", False), ("bell \x07", False)]
     df = spark.createDataFrame(rows, "t string, ok boolean")
     assert df.where(S.public_text(F.col("t")) != F.col("ok")).count() == 0
+
+
+def test_claimed_takes_the_greedy_pairs_of_overlaps_without_them(spark):
+    r = random.Random(2)
+    for width, ids in ((40, 30), (400, 30), (40, 8)):
+        side = lambda name: spark.createDataFrame([(k % 2, r.randrange(ids) if ids < 30 else k, a, a + r.choice([0, 1, 9, 30])) for k in range(30) for a in [r.randrange(width)]], f"g long, {name} long, start_ns long, end_ns long").localCheckpoint()
+        a, b = side("a"), side("b")
+        met = I.overlap_join(a, b, ["g"], 50).withColumn("delta", F.abs(F.col("r_start_ns") - F.col("start_ns")))
+        assert sorted(map(tuple, R.claimed(a, b, ["g"], "a", "b").collect())) == sorted(map(tuple, R.greedy_pairs(met, ["g"], "a", "b", "delta").collect()))
+
+
+def test_claims_of_many_that_all_overlap():
+    n = 20_000  # 10^8 pairs
+    got = R.nearest_first(list(range(2 * n)), [4 * n] * 2 * n, [k // 2 for k in range(2 * n)], [k % 2 == 0 for k in range(2 * n)])
+    assert got == [(2 * k, 2 * k + 1) for k in range(n)]
