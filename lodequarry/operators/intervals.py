@@ -22,6 +22,11 @@ def _frontier(keys: Sequence[str], end: str = "end_ns", order: Sequence[str] = (
     return F.max(end).over(w)
 
 
+def tasks(*frames: DataFrame, rows: int = 1_000_000) -> int:
+    """How many tasks give each about `rows` rows of the frames, which are counted, so that what one sorts at once does not grow with them; the session's number of shuffle partitions at least."""
+    return max(int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(df.count() for df in frames) // rows))
+
+
 def busy(df: DataFrame, keys: Sequence[str], start: str = "start_ns", end: str = "end_ns") -> DataFrame:
     """By keys: intervals, the length of their union (touching ones merge), their summed length and their envelope, all in ns."""
     prior = F.coalesce(_frontier(keys, end, (start, end)), F.col(start))
@@ -85,13 +90,15 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str
     One union and two windows over it, so a key's rows never multiply: the last right row at or before the time, and the first at or after it. Rows that repeat a left_id give one row."""
     r = right.select(*keys, F.col(right_at).alias("_t"), F.struct(F.col(right_at).alias("at"), F.col(right_id).alias("id")).alias("_r"), F.lit(0).alias("_kind"))
     both = left.select(*keys, F.col(left_id), F.col(at).alias("_t"), F.lit(1).alias("_kind")).unionByName(r, allowMissingColumns=True).dropna(subset=[*keys, "_t"])
+    n = tasks(both)
+    both = both.repartition(n, *keys)
     w, so_far = Window.partitionBy(*keys), (Window.unboundedPreceding, Window.currentRow)
     last_first = F.col("_r.id").desc()  # of equal times, the smallest id is met last
     before = F.last("_r", ignorenulls=True).over(w.orderBy("_t", "_kind", last_first).rowsBetween(*so_far))
     after = F.last("_r", ignorenulls=True).over(w.orderBy(F.col("_t").desc(), "_kind", last_first).rowsBetween(*so_far))
     met = both.withColumns({"_before": before, "_after": after}).where("_kind = 1")
     near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("_t")).alias("delta"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.id").alias("id")))
-    best = met.select(left_id, F.least(near("_before"), near("_after")).alias("b")).where("b is not null").groupBy(left_id).agg(F.min("b").alias("b"))
+    best = met.select(left_id, F.least(near("_before"), near("_after")).alias("b")).where("b is not null").repartition(n, left_id).groupBy(left_id).agg(F.min("b").alias("b"))
     return best.select(left_id, F.col("b.id").alias("nearest"), F.col("b.delta").alias("delta_ns"))
 
 

@@ -112,3 +112,10 @@ def test_ownership_of_many_at_once_makes_no_pairs(spark):
     owned = I.ownership(df, ["k"], "id", F.col("id"), 10**6)
     assert {(x["id"], x["owned_ns"]) for x in owned.collect()} == {(k, 2 if k < n - 1 else n - k + 1) for k in range(n)}
     assert not [x for x in ("Join", "CartesianProduct") if x in owned._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_tasks_grow_with_the_rows(spark):
+    df = spark.range(1_001)
+    assert (I.tasks(df), I.tasks(df, df, rows=100), I.tasks(df.limit(0))) == (4, 21, 4)
+    plan = I.nearest(df.selectExpr("id AS k", "id AS a", "id AS t"), df.selectExpr("id AS k", "id AS b", "id AS u"), ["k"], "a", "t", "b", "u")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
