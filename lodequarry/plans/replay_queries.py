@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodequarry.operators import intervals as I
 from lodequarry.operators import replay as P
 from lodequarry.plans.core_queries import EV
 from lodequarry.plans.registry import query
@@ -50,7 +51,9 @@ def launch_order(spark, sf):
 @query("REP-12", f"""SELECT c.call_id AS launch_id, w.work_id AS member_id, row_number() OVER (PARTITION BY c.call_id ORDER BY w.start_ns, w.work_id, w.device_id) - 1 AS task_ordinal FROM {RUNTIME_CALL} c JOIN (SELECT l_orderkey * 8 + l_linenumber AS work_id, l_orderkey, l_suppkey % 4 AS device_id, epoch_us(l_shipdate) * 1000 AS start_ns FROM lineitem) w ON w.l_orderkey = c.call_id WHERE c.correlation_id IS NOT NULL""")
 def launch_members(spark, sf):
     w = device_work(spark, sf).withColumn("call_id", F.expr("(work_id - pmod(work_id, 8)) div 8"))
-    met = runtime_call(spark, sf).where("correlation_id is not null").select("call_id").join(w, "call_id")
+    c, w = runtime_call(spark, sf).where("correlation_id is not null").select("call_id"), w.select("call_id", "work_id", "start_ns", "device_id")
+    n = I.tasks(c, w)
+    met = c.repartition(n, "call_id").join(w.repartition(n, "call_id"), "call_id")
     order = Window.partitionBy("call_id").orderBy("start_ns", "work_id", "device_id")
     return met.select(F.col("call_id").alias("launch_id"), F.col("work_id").alias("member_id"), (F.row_number().over(order).cast("long") - 1).alias("task_ordinal"))
 
