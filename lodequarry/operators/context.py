@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodequarry.functions.scalars import null_greatest, null_least
-from lodequarry.operators.intervals import busy
+from lodequarry.operators.intervals import busy, overlap_counts, overlap_join
 
 STEP_SCHEMA = "schema string, type string, run_id string, producer_id string, step_id string, ordinal long, total_scheduled_tokens long, requests array<struct<request_id:string,scheduled_tokens:long,scheduled_token_start:long,prompt_tokens:long>>, cache struct<observation_phase:string,free_blocks:long,pool_blocks:long>, finished_request_ids array<string>, preempted_request_ids array<string>, resumed_request_ids array<string>, execution_id string, marker string, worker_rank long, phase string, status string, marker_state string, written_records long, dropped_records long"
 
@@ -91,6 +91,26 @@ def step_costs(step: DataFrame, work: DataFrame, keys: Sequence[str] = ("run_id"
     return step.select(*keys).join(cost, list(keys), "left").withColumn("linked_work", F.coalesce("linked_work", F.lit(0)))
 
 
+def linked_stats(ops: DataFrame, work: DataFrame) -> DataFrame:
+    """By event_id of ops, the distinct events (tasks) and streams of work on its device that overlap or touch it.
+
+    Counted stream by stream without the pairs. Only where an id repeats or is null, or an interval is reversed, are the pairs met, as those cannot be counted so."""
+    cols = ["device_id", "stream_id", "event_id", "start_ns", "end_ns"]
+    plain = lambda df: df.withColumn("_plain", (F.count("*").over(Window.partitionBy("event_id")) == 1) & F.col("event_id").isNotNull() & (F.col("end_ns") >= F.col("start_ns")) & F.col("stream_id").isNotNull())
+    ops, work = plain(ops.select(*cols)), plain(work.select(*cols))
+    odd = ops.groupBy("event_id").agg(F.bool_and("_plain").alias("_plain"))
+    a, b = ops.where("_plain"), work.where("_plain")
+    streams = b.select("device_id", "stream_id").distinct()
+    asked = a.select("device_id", "event_id", "start_ns", "end_ns").join(F.broadcast(streams), "device_id")  # a row per device and stream is broadcast
+    counted = overlap_counts(asked, b, ["device_id", "stream_id"], "event_id").where("n > 0").select("event_id", "stream_id", F.col("n").alias("tasks"))
+    met = overlap_join(a, work.where("not _plain"), ["device_id"], closed=True).unionByName(overlap_join(ops.where("not _plain"), work, ["device_id"], closed=True))
+    seen = met.groupBy("event_id", F.col("r_stream_id").alias("stream_id"), "r_event_id").agg(F.lit(1).alias("_"))
+    rest = seen.groupBy("event_id", "stream_id").agg(F.lit(0).cast("long").alias("tasks"))
+    ids = seen.groupBy("event_id").agg(F.count_distinct("r_event_id").alias("more"))
+    by = counted.unionByName(rest).groupBy("event_id").agg(F.sum("tasks").alias("tasks"), F.count_distinct("stream_id").alias("streams")).join(ids, "event_id", "left")
+    return odd.select("event_id").join(by, "event_id", "left").select("event_id", (F.coalesce("tasks", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("tasks"), F.coalesce("streams", F.lit(0)).alias("streams"))
+
+
 def spans(events: DataFrame) -> DataFrame:
     """Spans from their start, end and other events (trace_id, span_id, event_id, event_type, producer_id, clock_id, sequence, at_ns, parent_span_id, name, kind, status).
 

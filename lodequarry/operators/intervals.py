@@ -66,6 +66,25 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_ns:
     return met.where(over & (F.col("_bin") == F.floor(F.greatest(F.col("start_ns"), F.col(rs)) / bin_ns))).drop("_bin")
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, bin_ns: int = HOUR) -> DataFrame:
+    """left_id and `n`, the rows of equal keys on the right that overlap or touch the left row, none of them reversed and no left_id twice; without the pairs.
+
+    Those are the starts up to the left end less the ends before the left start. Both are running counts: within a bin of time, and of the bins before, of which there is a row each."""
+    mark = lambda df, at, kind, value, i=F.lit(None).cast(left.schema[left_id].dataType): df.select(*keys, F.col(at).alias("_t"), F.lit(kind).alias("_kind"), F.lit(value).alias("_v"), i.alias("_i"))
+    # at one time: starts count for an end of the left there, ends only for what comes behind
+    marks = mark(left, "start_ns", 0, 0, F.col(left_id)).unionByName(mark(right, "start_ns", 1, 1)).unionByName(mark(left, "end_ns", 2, 0, F.col(left_id))).unionByName(mark(right, "end_ns", 3, 1)).dropna(subset=[*keys, "_t"])
+    marks = marks.withColumn("_bin", F.floor(F.col("_t") / bin_ns))
+    is_start, is_end = F.when(F.col("_kind") == 1, F.col("_v")).otherwise(0), F.when(F.col("_kind") == 3, F.col("_v")).otherwise(0)
+    before = (Window.unboundedPreceding, -1)
+    w, bins = Window.partitionBy(*keys, "_bin").orderBy("_t", "_kind"), Window.partitionBy(*keys).orderBy("_bin").rowsBetween(*before)
+    count = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    local = marks.withColumns({"_s": count(is_start, w.rowsBetween(*before)), "_e": count(is_end, w.rowsBetween(*before))}).where("_kind in (0, 2)")
+    sums = marks.groupBy(*keys, "_bin").agg(F.sum(is_start).alias("_ss"), F.sum(is_end).alias("_ee")).select(*keys, "_bin", count("_ss", bins).alias("_s0"), count("_ee", bins).alias("_e0"))
+    met = local.join(sums, [*keys, "_bin"])
+    n = F.sum(F.when(F.col("_kind") == 2, F.col("_s") + F.col("_s0")).otherwise(-F.col("_e") - F.col("_e0")))
+    return met.groupBy(*keys, F.col("_i").alias(left_id)).agg(n.alias("n"))
+
+
 def containment_join(outer: DataFrame, inner: DataFrame, keys: Sequence[str], bin_ns: int = HOUR) -> DataFrame:
     """Pairs with equal keys where the right interval lies within the left one; the right one is looked up by the bin of its start."""
     taken = set(outer.columns) - set(keys)

@@ -4,7 +4,7 @@ import statistics
 
 import pytest
 
-from lodequarry.operators import clock, context
+from lodequarry.operators import clock, context, intervals
 from lodequarry.sources import inference_log
 from lodequarry.streaming import imports
 
@@ -100,3 +100,18 @@ def test_clock_samples_may_be_many(spark):
     rows = [(k % 2, k * 1_000_000, k * 1_000_020 + k % 3) for k in range(10_000)]
     got = clock.fitted(spark.createDataFrame(rows, "rank int, a long, b long"), ["rank"], "a", "b").orderBy("rank").collect()
     assert [(x["rank"], x["slope_ppb"], x["samples"]) for x in got] == [(0, 20_000, 5_000), (1, 20_000, 5_000)]
+
+
+def test_linked_work_is_counted_like_all_pairs(spark):
+    r = random.Random(4)
+    some = lambda n, ids: [(r.randrange(2), r.randrange(4), r.choice(ids) if r.random() < 0.2 else 100 + k, a, a + r.choice([0, 0, 3, 40])) for k in range(n) for a in [r.randrange(120)]]
+    ops, work = some(40, [1, 2]), some(60, [7, 8, None])
+    want = {}
+    for d, _, i, a, b in ops:
+        hit = [x for x in work if x[0] == d and x[3] <= b and x[4] >= a]
+        t, s = want.setdefault(i, (set(), set()))
+        t.update(x[2] for x in hit if x[2] is not None), s.update(x[1] for x in hit)
+    schema = "device_id long, stream_id long, event_id long, start_ns long, end_ns long"
+    got = context.linked_stats(spark.createDataFrame(ops, schema), spark.createDataFrame(work, schema))
+    assert sorted(map(tuple, got.collect())) == sorted((i, len(t), len(s)) for i, (t, s) in want.items())
+    assert sorted(map(tuple, intervals.overlap_counts(got.selectExpr("0L AS k", "event_id", "tasks AS start_ns", "tasks AS end_ns"), got.selectExpr("0L AS k", "tasks AS start_ns", "tasks + 3 AS end_ns"), ["k"], "event_id", 4).select("event_id", "n").collect())) == sorted((i, sum(len(u) <= len(t) <= len(u) + 3 for u, _ in want.values())) for i, (t, _) in want.items())
