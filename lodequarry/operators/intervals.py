@@ -66,6 +66,27 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_ns:
     return met.where(over & (F.col("_bin") == F.floor(F.greatest(F.col("start_ns"), F.col(rs)) / bin_ns))).drop("_bin")
 
 
+def ordered_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], id_column: str, bin_ns: int = HOUR) -> DataFrame:
+    """overlap_join() of frames of keys, id, start_ns and end_ns, with observed_order: from 0, by the right start, end and id, within a left id.
+
+    Pairs stay in the task that met them: they are ranked within their bin, behind as many as their left row has in the bins before. Those are counted first, and only the counts move.
+    Left ids that repeat are ranked over all their pairs."""
+    right_order = ("r_start_ns", "r_end_ns", f"r_{id_column}")
+    marked = left.withColumn("_once", F.count("*").over(Window.partitionBy(id_column)) == 1)
+    many = overlap_join(marked.where("not _once").drop("_once"), right, keys, bin_ns)
+    many = many.withColumn("observed_order", F.row_number().over(Window.partitionBy(id_column).orderBy(*right_order)).cast("long") - 1)
+    cut = _bins(marked.where("_once").drop("_once"), bin_ns, "start_ns", "end_ns")
+    r = _bins(right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in (id_column, "start_ns", "end_ns"))), bin_ns, "r_start_ns", "r_end_ns")
+    later = F.col("_bin") == F.floor(F.greatest("start_ns", "r_start_ns") / bin_ns)
+    n = tasks(left, right, rows=10_000)  # a row may have hundreds of pairs
+    meet = lambda x: x.repartition(n, *keys, "_bin").join(r.repartition(n, *keys, "_bin"), [*keys, "_bin"]).where((F.col("start_ns") < F.col("r_end_ns")) & (F.col("r_start_ns") < F.col("end_ns")) & later)
+    bins = Window.partitionBy(id_column).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = meet(cut).groupBy(*keys, "_bin", id_column).agg(F.count("*").alias("_n")).select(*keys, "_bin", id_column, F.coalesce(F.sum("_n").over(bins), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_bin", id_column).orderBy(*right_order))
+    one = meet(cut.join(before, [*keys, "_bin", id_column])).withColumn("observed_order", place.cast("long") - 1 + F.col("_before")).drop("_bin", "_before")
+    return one.unionByName(many)
+
+
 def overlap_counts(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, bin_ns: int = HOUR) -> DataFrame:
     """left_id and `n`, the rows of equal keys on the right that overlap or touch the left row, none of them reversed and no left_id twice; without the pairs.
 

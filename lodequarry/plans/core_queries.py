@@ -201,10 +201,10 @@ def reused_ids(spark, sf):
  FROM {EV} e JOIN {_COMM} c ON c.device_id = e.device_id AND c.start_ns < e.end_ns AND e.start_ns < c.end_ns WHERE e.symbol = '{WAIT}'""")
 def overlaps(spark, sf):
     e = trace_event(spark, sf)
-    met = I.overlap_join(e.where(F.col("symbol") == WAIT).select("device_id", "event_id", "start_ns", "end_ns"), e.where(F.col("symbol") == COMMUNICATION).select("device_id", "event_id", "start_ns", "end_ns"), ["device_id"])
-    w = Window.partitionBy("event_id").orderBy("r_start_ns", "r_end_ns", "r_event_id")
+    side = lambda symbol: e.where(F.col("symbol") == symbol).select("device_id", "event_id", "start_ns", "end_ns")
+    met = I.ordered_overlaps(side(WAIT), side(COMMUNICATION), ["device_id"], "event_id")
     inside = (F.col("r_start_ns") >= F.col("start_ns")) & (F.col("r_end_ns") <= F.col("end_ns"))
-    return met.select("event_id", "r_event_id", F.when(inside, "contained").otherwise("boundary_overlap").alias("relation"), S.micros(S.null_least("r_end_ns", "end_ns") - S.null_greatest("r_start_ns", "start_ns")).alias("overlap_us"), (F.row_number().over(w).cast("long") - 1).alias("observed_order"))
+    return met.select("event_id", "r_event_id", F.when(inside, "contained").otherwise("boundary_overlap").alias("relation"), S.micros(S.null_least("r_end_ns", "end_ns") - S.null_greatest("r_start_ns", "start_ns")).alias("overlap_us"), "observed_order")
 
 
 @query("JOIN-07", "SELECT n_nationkey, s.pos, n_regionkey FROM nation JOIN (SELECT unnest(range(0, 40)) AS pos) s ON s.pos >= n_nationkey AND s.pos < n_nationkey + n_regionkey")

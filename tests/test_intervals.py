@@ -119,3 +119,15 @@ def test_tasks_grow_with_the_rows(spark):
     assert (I.tasks(df), I.tasks(df, df, rows=100), I.tasks(df.limit(0))) == (4, 21, 4)
     plan = I.nearest(df.selectExpr("id AS k", "id AS a", "id AS t"), df.selectExpr("id AS k", "id AS b", "id AS u"), ["k"], "a", "t", "b", "u")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_overlaps_are_ranked_where_they_are_met(spark):
+    r = random.Random(9)
+    some = lambda n, ids: [(r.randrange(2), r.choice(ids) if r.random() < 0.2 else 100 + k, a, a + r.choice([0, 3, 40])) for k in range(n) for a in [r.randrange(120)]]
+    left, right = some(40, [1, 2]), some(50, [7])
+    want = {}
+    for k, i, a, b in left:
+        want.setdefault(i, []).extend((c, d, j) for q, j, c, d in right if q == k and a < d and c < b)
+    schema = "k long, id long, start_ns long, end_ns long"
+    got = I.ordered_overlaps(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], "id", 8)
+    assert sorted((x["id"], x["observed_order"], x["r_start_ns"], x["r_end_ns"], x["r_id"]) for x in got.collect()) == sorted((i, n, *x) for i, v in want.items() for n, x in enumerate(sorted(v)))
